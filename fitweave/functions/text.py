@@ -52,7 +52,7 @@ def snippets(body: Column, quote_chars: int | None = None) -> Column:
 
 def label_pattern(label: str) -> str:
     """Label between non-alphanumeric ASCII characters, case-insensitive."""
-    return rf"(?i)(?<![a-z0-9]){quote(label)}(?![a-z0-9])"
+    return rf"(?iu)(?<![a-z0-9]){quote(label)}(?![a-z0-9])"
 
 
 def word_pattern(label: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitweave.functions.text import blank_to_null, literal_map, quote, skill_key, strip
@@ -107,7 +107,7 @@ def _shorter_labels(labels: list[str]) -> dict[str, list[int]]:
 
 def _may_equal_a_key(lowered: Column) -> Column:
     """Cheap exact guard: only texts with few key characters can equal a label's key."""
-    return lowered.rlike(r"^[^a-z0-9+.#&]*+(?:[a-z0-9+.#&][^a-z0-9+.#&]*+){1,60}+$")
+    return lowered.rlike(r"^[^a-z0-9+.#&]*+(?:[a-z0-9+.#&][^a-z0-9+.#&]*+){0,60}+$")
 
 
 def base_mentions(text: Column) -> Column:
@@ -139,7 +139,7 @@ def _anchor(label: Column) -> Column:
 def mentions_label(text: Column, label: Column) -> Column:
     """Exact check of one (text, label) row."""
     body = F.when(skill_key(label) == "azure", F.regexp_replace(text, _AZURE_PRODUCTS, "")).otherwise(text)
-    pattern = F.concat(F.lit(r"(?i)(?<![a-z0-9])"),
+    pattern = F.concat(F.lit(r"(?iu)(?<![a-z0-9])"),
                        F.regexp_replace(label, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1"), F.lit(r"(?![a-z0-9])"))
     return F.contains(F.lower(text), F.lower(label)) & F.regexp_like(body, pattern)
 

@@ -1,9 +1,9 @@
-"""Session helpers: local sessions for tests, reliable checkpoints for jobs."""
+"""Session helpers: local sessions for tests, materialised steps for jobs."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,23 +17,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def step_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a shared folder before running on a cluster.")
+        folder = tempfile.mkdtemp(prefix="fitweave-steps-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session.
+    """Write an intermediate result once and read it back.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only where no
-    folder is set at all (tests, local runs) one is created.
+    Lineage ends at the written table, so lost executors cost a re-read only,
+    and the planner knows the real size of what follows.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a shared folder before running on a cluster.")
-            configured = tempfile.mkdtemp(prefix="fitweave-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{step_folder(df.sparkSession)}/fitweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

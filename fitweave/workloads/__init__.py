@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ranking"]
+MODULES = ["ranking", "skills", "evidence"]
 
 
 def collect(attribute: str) -> dict:
