@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ranking", "skills", "evidence"]
+MODULES = ["ranking", "skills", "evidence", "texts", "reports"]
 
 
 def collect(attribute: str) -> dict:
