@@ -206,7 +206,7 @@ def _run_folder(spark, name):
 
 def schedule_stream(spark, sf_dir):
     source = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rating = F.when(F.col("value") < 10, "again").when(F.col("value") < 30, "effort").otherwise("independent")
     events = stream.select(F.col("user_id").alias("profile_id"), F.col("event_type").alias("skill_id"),
                            F.col("ts").cast("timestamp").alias("ts"), "event_id", rating.alias("rating"))
@@ -240,7 +240,7 @@ def feed_snapshots(documents: DataFrame) -> DataFrame:
 
 def posting_feed(spark, sf_dir):
     source = table(spark, sf_dir, "documents")
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     folder = _run_folder(spark, "feed")
     feed.start_posting_feed(feed_snapshots(stream), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
     rows = feed.catalogue(spark, f"{folder}/rows")
@@ -373,8 +373,8 @@ ORACLE = {
         flags AS (SELECT d.doc_id, k.url, k.title, k.always, k.pos, regexp_matches(regexp_replace(lower(d.text), '[^\\x00-\\x7F]', '_', 'g'), k.pattern) AS t,
           regexp_matches(coalesce(n.missing, ''), k.pattern) AS ms, regexp_matches(coalesce(n.covered, ''), k.pattern) AS cv
           FROM skill_docs d CROSS JOIN material k LEFT JOIN names n USING (doc_id)),
-        scored AS (SELECT doc_id, title, always, sum(CASE WHEN t THEN 2 WHEN ms OR cv THEN 1 ELSE 0 END + CASE WHEN pos = 0 AND ms THEN 3 ELSE 0 END)
-          + CASE WHEN always THEN 3 ELSE 0 END AS score FROM flags GROUP BY ALL)
+        summed AS (SELECT doc_id, title, always, sum(CASE WHEN t THEN 2 WHEN ms OR cv THEN 1 ELSE 0 END + CASE WHEN pos = 0 AND ms THEN 3 ELSE 0 END) AS s
+          FROM flags GROUP BY doc_id, title, always), scored AS (SELECT doc_id, title, always, s + CASE WHEN always THEN 3 ELSE 0 END AS score FROM summed)
         SELECT doc_id + 1 AS profile_id, doc_id AS posting_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY always DESC, score DESC, title) AS INTEGER) AS place,
           title, CAST(score AS INTEGER) AS score FROM scored WHERE score > 0 QUALIFY place <= 7""",
     "p5_feedback": f"WITH {_FEEDBACK} SELECT answer_id, criterion_index, status, md5(q) AS evidence FROM kept",
