@@ -87,8 +87,8 @@ def company_apply_url(url: Column, network: str = "linkedin.com") -> Column:
 
     pairs = query_pairs(query(text))
     target = F.coalesce(
-        F.element_at(F.filter(pairs, lambda p: p["k"] == "url"), -1)["v"],
-        F.element_at(F.filter(pairs, lambda p: p["k"] == "session_redirect"), -1)["v"],
+        F.try_element_at(F.filter(pairs, lambda p: p["k"] == "url"), F.lit(-1))["v"],
+        F.try_element_at(F.filter(pairs, lambda p: p["k"] == "session_redirect"), F.lit(-1))["v"],
     )
     chosen = F.when(own(text), F.when(~own(target), target)).otherwise(text)
     rebuilt = F.concat(scheme(chosen), F.lit("://"), F.lower(authority(chosen)), path(chosen),

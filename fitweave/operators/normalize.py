@@ -84,12 +84,12 @@ def structured_fields(pages: DataFrame) -> DataFrame:
     def first(column: str) -> Column:
         return F.min(F.when(F.col(column).isNotNull(), F.struct("at", F.col(column).alias("v"))))
     texts = ("description", "employment_type", "workplace_type")
-    found = rows.groupBy("page_id").agg(*[first(c).alias(c) for c in texts],
+    found = rows.groupBy("page_id").agg(*[first(c).alias(f"first_{c}") for c in texts],
                                         F.array_sort(F.collect_list(F.when(F.col("direct").isNotNull(), F.struct("at", "direct")))).alias("directs"))
-    complete = F.when(F.forall(F.array(*[F.col(c).isNull() for c in texts]), lambda missing: ~missing),
-                      F.greatest(*[F.col(f"{c}.at") for c in texts]))
+    complete = F.when(F.forall(F.array(*[F.col(f"first_{c}").isNull() for c in texts]), lambda missing: ~missing),
+                      F.array_max(F.array(*[F.col(f"first_{c}.at") for c in texts])))
     direct = F.get(F.filter("directs", lambda d: complete.isNull() | (d["at"] <= complete)), F.lit(0))["direct"]
-    return found.select("page_id", *[F.col(f"{c}.v").alias(c) for c in texts], direct.alias("easy_apply"))
+    return found.select("page_id", *[F.col(f"first_{c}.v").alias(c) for c in texts], direct.alias("easy_apply"))
 
 
 def apply_mode(tracking: Column, label: Column, apply_url: Column, direct: Column) -> Column:

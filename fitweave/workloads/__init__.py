@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ranking", "skills", "evidence", "texts", "reports"]
+MODULES = ["ranking", "skills", "evidence", "texts", "reports", "postings"]
 
 
 def collect(attribute: str) -> dict:
