@@ -26,6 +26,15 @@ def skill_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(text, r" +", " "))
 
 
+def let(value: Column, build) -> Column:
+    """Evaluate ``value`` once and use it inside higher-order functions.
+
+    An outer expression named inside a lambda is computed again for every
+    element; as the variable of a one-element array it is computed once.
+    """
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -68,8 +77,8 @@ def quoted(label: Column) -> Column:
 def distinct_ignoring_case(values: Column, limit: int | None = None) -> Column:
     """Trimmed non-blank values, first spelling of each kept, in order."""
     clean = F.filter(F.transform(values, lambda v: strip(v)), lambda v: v != "")
-    keys = F.transform(clean, lambda v: F.lower(v))
-    kept = F.filter(clean, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)
+    kept = let(clean, lambda words: let(F.transform(words, F.lower), lambda keys: F.filter(
+        words, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)))
     return F.slice(kept, 1, limit) if limit else kept
 
 

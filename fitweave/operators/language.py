@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from fitweave.functions.constants import (
     CHUNK_CHARS, ENGLISH_MARKERS, FOREIGN_MARKERS, LANGUAGE_ALIASES, LANGUAGE_NAMES, LANGUAGE_OFF, NON_LATIN_SCRIPTS)
-from fitweave.functions.text import language_tokens, literal_map, strip
+from fitweave.functions.text import language_tokens, let, literal_map, strip
 
 
 def looks_english(text: Column) -> Column:
     """L1: share of English function words against foreign ones; blank counts as English."""
-    tokens = language_tokens(text)
-    n = F.size(tokens)
-    english = F.size(F.filter(tokens, lambda t: t.isin(ENGLISH_MARKERS)))
-    foreign = F.size(F.filter(tokens, lambda t: t.isin(FOREIGN_MARKERS)))
+    counted = let(language_tokens(text), lambda tokens: F.struct(
+        F.size(tokens).alias("n"), F.size(F.filter(tokens, lambda t: t.isin(ENGLISH_MARKERS))).alias("en"),
+        F.size(F.filter(tokens, lambda t: t.isin(FOREIGN_MARKERS))).alias("other")))
+    return let(counted, lambda c: _english_by_counts(text, c["n"], c["en"], c["other"]))
+
+
+def _english_by_counts(text: Column, n: Column, english: Column, foreign: Column) -> Column:
     return (F.when(F.coalesce(strip(text), F.lit("")) == "", True)
             .when(text.rlike(NON_LATIN_SCRIPTS), False)
             .when(n < 12, foreign == 0)
@@ -59,9 +62,12 @@ def chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
             F.when(full, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
             F.when(full | state["open"].isNull(), part).otherwise(F.concat(state["open"], F.lit(gap), part)).alias("open"))
 
+    def pieces(chunk: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(chunk), F.lit(limit)), lambda at: F.substring(chunk, at, F.lit(limit)))
+
     packed = F.aggregate(F.split(text, r"\n{2,}"), start, add, lambda s: F.array_append(s["done"], s["open"]))
     cut = F.flatten(F.transform(packed, lambda c: F.when(F.length(c) <= limit, F.array(c)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(c), F.lit(limit)), lambda at: F.substring(c, at, F.lit(limit))))))
+        pieces(c))))
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(cut)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fitweave.functions.constants import (
     CLIENT_WORDS, COUNTRY_CITIES, COUNTRY_NAMES, GITHUB_RESERVED, LANGUAGE_LEVELS, LOW_TEXT_CHARS)
-from fitweave.functions.text import blank_to_null, distinct_ignoring_case, literal_map, strip
+from fitweave.functions.text import blank_to_null, distinct_ignoring_case, let, literal_map, strip
 from fitweave.operators.skills import tidy_skill_list
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -42,7 +42,7 @@ def drop_repeated_edges(pages: DataFrame, max_chars: int = 80) -> DataFrame:
         return F.when(same & (F.length(F.min(column)) < max_chars), F.min(column))
     drop = edges.groupBy("doc_id").agg(F.array_compact(F.array(repeated("head"), repeated("foot"))).alias("drop"),
                                        F.count("*").alias("n_pages"))
-    kept = F.filter("lines", lambda line: ~F.array_contains(F.col("drop"), strip(line)))
+    kept = let(F.col("drop"), lambda gone: F.filter("lines", lambda line: ~F.array_contains(gone, strip(line))))
     return lined.join(drop, "doc_id").select("doc_id", "page_no", "n_pages", F.when(
         F.col("n_pages") < 2, F.col("text")).otherwise(strip(F.array_join(kept, "\n"))).alias("text"))
 
@@ -139,8 +139,9 @@ def spoken_language(item: Column) -> Column:
 
 def _distinct_names(items: Column, coerce, limit: int) -> Column:
     rows = F.filter(F.transform(items, coerce), lambda r: r["name"] != "")
-    names = F.transform(rows, lambda r: F.lower(r["name"]))
-    return F.slice(F.filter(rows, lambda r, i: F.array_position(names, F.lower(r["name"])) == i + 1), 1, limit)
+    first = let(rows, lambda known: let(F.transform(known, lambda r: F.lower(r["name"])), lambda names: F.filter(
+        known, lambda r, i: F.array_position(names, F.lower(r["name"])) == i + 1)))
+    return F.slice(first, 1, limit)
 
 
 def employers(items: Column, limit: int = 15) -> Column:

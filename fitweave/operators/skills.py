@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitweave.functions.text import blank_to_null, literal_map, quote, skill_key, strip
+from fitweave.functions.text import blank_to_null, let, literal_map, quote, skill_key, strip
 from fitweave.functions.vocabulary import ALIAS_GROUPS, FAMILIES, GENERIC_TERMS, KNOWN_LABELS
 
 _AZURE_PRODUCTS = r"(?i)\bazure\s+(?:devops|pipelines)\b"
@@ -277,10 +277,9 @@ def tidy_skill_list(items: Column, limit: int = 40) -> Column:
         return F.when(spaced & ~lower_variant, new).otherwise(old)
 
     clean = F.filter(F.transform(items, strip), lambda v: compact(v) != "")
-    keys = F.array_distinct(F.transform(clean, compact))
-    merged = F.transform(keys, lambda key: F.aggregate(
-        F.filter(clean, lambda v: compact(v) == key), F.lit(None).cast("string"),
-        lambda old, new: F.when(old.isNull(), new).otherwise(better(old, new))))
+    merged = let(clean, lambda labels: F.transform(F.array_distinct(F.transform(labels, compact)), lambda key: F.aggregate(
+        F.filter(labels, lambda v: compact(v) == key), F.lit(None).cast("string"),
+        lambda old, new: F.when(old.isNull(), new).otherwise(better(old, new)))))
     return F.slice(merged, 1, limit)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fitweave.functions import constants as K
 from fitweave.functions import html as H
 from fitweave.functions import urls as U
+from fitweave.functions.text import distinct_ignoring_case
 from fitweave.operators import match as M
 from fitweave.operators import merge as D
 from fitweave.operators import normalize as N
@@ -283,7 +284,7 @@ def n11_requests(spark, sf_dir):
 def raw_requests(spark, sf_dir) -> DataFrame:
     o = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        o.alias("query_id"), F.when(o % 10 > 0, F.concat(F.lit(" "), F.col("o_orderpriority"))).alias("keywords"), F.lit("fallback").alias("keyword") if False else F.when(o % 20 == 0, F.lit("fallback")).alias("keyword"),
+        o.alias("query_id"), F.when(o % 10 > 0, F.concat(F.lit(" "), F.col("o_orderpriority"))).alias("keywords"), F.when(o % 20 == 0, F.lit("fallback")).alias("keyword"),
         pick(PLACES, o).alias("location"), pick(["Past Week", "24h", "any", "past-month", "later"], o).alias("dateSincePosted"), pick(["", "7", "400", "30"], o).alias("postedWithinDays"),
         pick(["full time", "Contract, part-time,contract", "", "gig"], o + 1).alias("job_type"), pick(["remote", "on site,hybrid"], o).alias("remoteFilter"), pick(["", "60000", "70000"], o + 2).alias("salary"),
         pick(["Recent", "relevant"], o).alias("sortBy"), pick(["10", "25", "500"], o + 1).alias("limit"), pick(["0", "3"], o).alias("page"), F.when(o % 6 == 0, pick(["1", "2", "9"], o)).alias("f_WT"),
@@ -433,9 +434,14 @@ def d8(spark, sf_dir):
 
 
 def d9(spark, sf_dir):
-    from fitweave.functions.text import distinct_ignoring_case
-    words = F.split(F.regexp_replace("text", "\n", " "), " ")
-    return docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(distinct_ignoring_case(words), "|")).alias("words"), F.array_join(distinct_ignoring_case(F.slice(words, 1, 30), 8), "|").alias("first"))
+    """Whole texts: words are grouped per document; short lists use the column form."""
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    words = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(flat, " ")).alias("i", "w")).withColumn("w", F.trim("w")).where("w <> ''")
+    first = words.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min(F.struct("i", "w")).alias("f"))
+    every = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fs")).select(
+        "doc_id", F.md5(F.array_join(F.transform("fs", lambda f: f["w"]), "|")).alias("words"))
+    short = docs(spark, sf_dir).select("doc_id", F.array_join(distinct_ignoring_case(F.slice(F.split(flat, " "), 1, 30), 8), "|").alias("first"))
+    return every.join(short, "doc_id")
 
 
 def _crawl(spark, sf_dir):
