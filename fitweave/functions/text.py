@@ -87,6 +87,19 @@ def language_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0)), F.lower)
 
 
+def literal(value) -> str:
+    """SQL form of a fixed string, number or list; whole tables parse in one call."""
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(literal(v) for v in value) + ")"
+    if isinstance(value, bool) or not isinstance(value, str):
+        return str(value).lower()
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(values: dict) -> Column:
-    """Small fixed dictionary as a map literal."""
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """Fixed dictionary as a map literal."""
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in values.items()) + ")")
+
+
+def literal_array(values: list) -> Column:
+    return F.expr(literal(values))

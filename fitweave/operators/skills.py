@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitweave.functions.text import blank_to_null, let, literal_map, quote, skill_key, strip
+from fitweave.functions.text import blank_to_null, let, literal_array, literal_map, quote, skill_key, strip
 from fitweave.functions.vocabulary import ALIAS_GROUPS, FAMILIES, GENERIC_TERMS, KNOWN_LABELS
 
 _AZURE_PRODUCTS = r"(?i)\bazure\s+(?:devops|pipelines)\b"
@@ -115,17 +115,15 @@ def base_mentions(text: Column) -> Column:
     labels = base_labels()
     lowered = F.lower(text)
     hits = F.array_distinct(F.regexp_extract_all(lowered, F.lit(_mention_pattern(labels)), F.lit(1)))
-    closure = F.create_map(*[x for key, ords in _shorter_labels(labels).items()
-                             for x in (F.lit(key), F.array(*[F.lit(o) for o in ords]))])
+    closure = literal_map(_shorter_labels(labels))
     same_key: dict[str, list[int]] = {}
     for position, label in enumerate(labels):
         same_key.setdefault(plain_key(label), []).append(position)
-    by_key = F.create_map(*[x for key, ords in same_key.items()
-                            for x in (F.lit(key), F.array(*[F.lit(o) for o in ords]))])
+    by_key = literal_map(same_key)
     nothing = F.array().cast("array<int>")
     whole = F.coalesce(F.when(_may_equal_a_key(lowered), by_key[skill_key(text)]), nothing)
     ordinals = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(hits, lambda h: closure[h])), whole)))
-    names = F.array(*[F.lit(label) for label in labels])
+    names = literal_array(labels)
     return F.coalesce(F.transform(ordinals, lambda o: F.element_at(names, o + 1)), F.array().cast("array<string>"))
 
 
@@ -285,6 +283,5 @@ def tidy_skill_list(items: Column, limit: int = 40) -> Column:
 
 def labels_for(name: Column) -> Column:
     """A tool's own name followed by every spelling of its alias group."""
-    groups = F.create_map(*[x for group in ALIAS_GROUPS for x in (
-        F.lit(plain_key(group[0])), F.array(*[F.lit(label) for label in group]))])
+    groups = literal_map({plain_key(group[0]): group for group in ALIAS_GROUPS})
     return F.array_distinct(F.concat(F.array(name), F.coalesce(groups[canonical_key(name)], F.array().cast("array<string>"))))

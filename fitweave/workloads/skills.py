@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitweave.functions.text import skill_key
+from fitweave.functions.text import literal_array, skill_key
 from fitweave.functions.vocabulary import GENERIC_TERMS
 from fitweave.operators import skills as S
 from fitweave.plans.posting_rank import rank_by_text, shortlist_order
@@ -21,7 +21,7 @@ OWN = ["Python", "K8s", "Jenkins", "GitHub", "Docker", "MySQL", "Azure DevOps",
 
 
 def _pick(values: list[str], number) -> F.Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(literal_array(list(values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
 def _pick_sql(values: list[str], number: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fitweave.functions import constants as K
+from fitweave.functions.text import literal_array
 from fitweave.operators import evaluation as E
 from fitweave.operators import language as L
 from fitweave.operators import profiles as P
@@ -17,7 +18,7 @@ CITIES = ["Amsterdam", "berlin", "Paris ", "", "Springfield", "Singapore", "New
 
 
 def pick(values, number):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(literal_array(list(values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
 def pick_sql(values, number):
