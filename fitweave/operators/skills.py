@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fitweave.functions.text import blank_to_null, let, literal_array, literal_map, quote, skill_key, strip
 from fitweave.functions.vocabulary import ALIAS_GROUPS, FAMILIES, GENERIC_TERMS, KNOWN_LABELS
+from fitweave.session import checkpointed
 
 _AZURE_PRODUCTS = r"(?i)\bazure\s+(?:devops|pipelines)\b"
 _TOKENS = r"[a-z0-9]+|[^\sa-z0-9]"
@@ -150,7 +151,7 @@ def vocabulary_mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The text itself never rides through the token shuffle.
     """
     wanted = labels.select(strip(F.col("label")).alias("label")).where("label <> ''").distinct()
-    wanted = wanted.withColumn("anchor", _anchor(F.col("label")))
+    wanted = checkpointed(wanted.withColumn("anchor", _anchor(F.col("label"))))
     tokens = docs.select("doc_id", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0)))).alias("anchor"))
     candidates = tokens.join(wanted, "anchor").select("doc_id", "label")
@@ -222,7 +223,7 @@ def profile_coverage(profile_skills: DataFrame, cover: DataFrame) -> DataFrame:
 
 def compare(pairs: DataFrame, posting_skills: DataFrame, profile_skills: DataFrame) -> DataFrame:
     """K7: pairs (profile_id, posting_id) -> one row per posting tool with matched flag and via labels."""
-    tools = first_per_tool(posting_skills)
+    tools = checkpointed(first_per_tool(posting_skills))
     covered = profile_coverage(profile_skills, coverage(tools.select("label"), profile_skills.select("label")))
     rows = pairs.select("profile_id", "posting_id").join(tools, "posting_id")
     rows = rows.join(covered.withColumnRenamed("job_label", "label"), ["profile_id", "label"], "left")
