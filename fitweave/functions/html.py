@@ -34,10 +34,13 @@ def unescape(text: Column) -> Column:
     """Common named entities and numeric ones, inside the JVM."""
     for name, char in _ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{2,6});"), F.lit(1)))
+    def character(digits: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{2,6}|[xX][0-9A-Fa-f]{2,5});"), F.lit(1)))
     text = F.aggregate(codes, text, lambda acc, code: F.replace(
         acc, F.concat(F.lit("&#"), code, F.lit(";")),
-        F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")))
+        F.when(code.rlike("^[xX]"), character(F.substring(code, 2, 6))).otherwise(character(F.hex(code.try_cast("long"))))))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
