@@ -52,11 +52,16 @@ def marked_page(page_no: Column, text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("--- page "), page_no, F.lit(" ---\n"), text), r"(?U)\s+$", "")
 
 
-def documents(pages: DataFrame) -> DataFrame:
-    """One row per document, pages in order under their markers. A document is a row, as in the source."""
-    rows = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+def documents(pages: DataFrame, pages_per_row: int = 200) -> DataFrame:
+    """Document texts (doc_id, segment, text), pages in order under their markers.
+
+    A document of up to ``pages_per_row`` pages is one row; a longer one continues in
+    further segments, so no document is gathered without bound.
+    """
+    segment = F.floor((F.col("page_no") - 1) / pages_per_row).cast("int").alias("segment")
+    rows = pages.groupBy("doc_id", segment).agg(F.array_sort(F.collect_list(F.struct(
         "page_no", marked_page(F.col("page_no"), F.col("text")).alias("page")))).alias("pages"))
-    return rows.select("doc_id", F.array_join(F.transform("pages", lambda p: p["page"]), "\n\n").alias("text"))
+    return rows.select("doc_id", "segment", F.array_join(F.transform("pages", lambda p: p["page"]), "\n\n").alias("text"))
 
 
 def text_quality(text: Column) -> Column:

@@ -114,7 +114,7 @@ def shortlist(spark, sf_dir):
     docs = skill_documents(spark, sf_dir).select(F.col("doc_id").alias("posting_id"), "text")
     saved = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("posting_id"),
                                                   F.col("o_orderkey").alias("ord"))
-    return shortlist_order(saved, docs, customer_skills(spark, sf_dir)).select("profile_id", "posting_id", "n_matched", "place")
+    return shortlist_order(saved, docs, customer_skills(spark, sf_dir)).select("profile_id", "posting_id", "n_matched")
 
 
 def terms(spark, sf_dir):
@@ -234,8 +234,7 @@ ORACLE = {
         SELECT profile_id, posting_id, CAST(n AS INTEGER) AS n_matched, round_even(n / m, 4) AS score, CAST(rank AS INTEGER) AS rank
         FROM ranked JOIN sizes USING (profile_id) WHERE rank <= 5""",
     "k10_shortlist_order": f"""{_TEXT_PREFIX}, {_HITS}
-        SELECT o_custkey AS profile_id, o_orderkey AS posting_id, CAST(coalesce(n, 0) AS INTEGER) AS n_matched,
-          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(n, 0) DESC, o_orderkey) AS INTEGER) AS place
+        SELECT o_custkey AS profile_id, o_orderkey AS posting_id, CAST(coalesce(n, 0) AS INTEGER) AS n_matched
         FROM orders JOIN documents ON doc_id = o_orderkey LEFT JOIN hits ON hits.profile_id = o_custkey AND hits.posting_id = o_orderkey""",
     "k12_search_terms": """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [p_name || ' lead', p_type, p_brand]
           WHEN p_partkey % 5 > 0 THEN [p_brand, p_type] ELSE [] END AS titles FROM part)
