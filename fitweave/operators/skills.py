@@ -87,8 +87,14 @@ def vocabulary(base: DataFrame, extras: DataFrame) -> DataFrame:
 def _mention_pattern(labels: list[str]) -> str:
     """One pass over the text: at every token start, the longest label that ends on a boundary."""
     longest_first = sorted((label.lower() for label in labels), key=lambda s: (-len(s), s))
-    options = [quote(s) + (r"(?!\s+(?:devops|pipelines)\b)" if plain_key(s) == "azure" else "") for s in longest_first]
-    return r"(?<![a-z0-9])(?=(" + "|".join(options) + r")(?![a-z0-9]))"
+    by_letter: dict[str, list[str]] = {}
+    for label in longest_first:
+        rest = quote(label[1:]) + (r"(?!\s+(?:devops|pipelines)\b)" if plain_key(label) == "azure" else "")
+        by_letter.setdefault(label[0], []).append(rest)
+    # one branch per first letter, so most token starts fail on a single character
+    options = [quote(letter) + "(?:" + "|".join(rests) + ")" for letter, rests in by_letter.items()]
+    letters = "".join(quote(letter) for letter in by_letter)
+    return rf"(?=[{letters}])(?<![a-z0-9])(?=(" + "|".join(options) + r")(?![a-z0-9]))"
 
 
 def _shorter_labels(labels: list[str]) -> dict[str, list[int]]:
