@@ -89,7 +89,7 @@ def greenhouse(payloads: DataFrame, companies: DataFrame | None = None) -> DataF
 
 
 def _iso_millis(value: Column) -> Column:
-    stamp = F.timestamp_millis(value)
+    stamp = F.to_utc_timestamp(F.timestamp_millis(value), F.current_timezone())  # UTC whatever the session's zone
     part = F.when(value % 1000 != 0, F.concat(F.date_format(stamp, ".SSS"), F.lit("000"))).otherwise(F.lit(""))
     return F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
 
