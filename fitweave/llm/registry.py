@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "decontaminate"]
+MODULES = ["minhash", "tokens", "decontaminate"]
 
 
 def collect(attribute: str) -> dict:
