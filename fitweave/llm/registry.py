@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "tokens", "decontaminate"]
+MODULES = ["minhash", "tokens", "rules", "decontaminate"]
 
 
 def collect(attribute: str) -> dict:
