@@ -1,6 +1,6 @@
 """Vectorised helpers over the UTF-8 bytes of Arrow text columns.
 
-Tasks see a few megabytes of text at a time (`pieces`), so the memory of a
+Tasks see half a megabyte of text at a time (`pieces`), so the memory of a
 Python worker does not follow the batch size; a single longer text is one piece.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 

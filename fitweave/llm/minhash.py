@@ -7,9 +7,9 @@ the band keys. In a bucket of equal band keys every member meets the bucket's
 first member, not every other. A pair's sketches are compared by counting equal
 lanes, corrected for lanes that agree by chance; pairs that may reach the
 threshold are confirmed on whole sets. Buckets whose members are not yet in one
-component then drop their first member and go on with the next, until every
-pair of a bucket has been compared or lies in one component; no partner is
-capped, and a group of copies costs as many pairs as it has members.
+component then go on with further heads, members of their rarest components,
+until every pair of a bucket has been compared or lies in one component; no
+partner is capped, and a group of copies costs as many pairs as it has members.
 
 A pair at the threshold misses all bands with probability
 (1 - 0.75^ROWS)^BANDS, about 2e-5, and the five-sigma margin of the
@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fitweave.llm.bytesops import LOWER, SPACES, Spans, mixed, pieces, raw, runs
@@ -35,6 +35,8 @@ from fitweave.llm.graph import components
 from fitweave.llm.steps import drop, stored
 
 WIDTH, BANDS, ROWS, BITS, PERCENT = 5, 40, 5, 4, 75
+#: The heads that a mixed bucket compares grow by this factor from round to round.
+GROWTH = 8
 MINIMA = BANDS * ROWS
 LANES = 64 // BITS
 LONGS = -(-MINIMA // LANES)
@@ -61,11 +63,10 @@ def _minima(values: np.ndarray) -> np.ndarray:
     """The MINIMA least values of as many hash functions."""
     least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
     small = (values >> np.uint64(32)).astype(np.uint32)
-    for low in range(0, len(small), 1024):
-        x = small[None, low : low + 1024] * _SEEDS[:, None]
+    for low in range(0, len(small), 256):
+        x = small[None, low : low + 256] * _SEEDS[:, None]
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
         np.minimum(least, x.min(axis=1), out=least)
     return least
 
@@ -160,6 +161,27 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, sets: DataFrame, percent: in
     return whole.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def _next_pairs(live: DataFrame, compared: DataFrame, heads: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Buckets that still hold several components, without this round's heads; the pairs of those heads.
+
+    The heads of a bucket are members of its rarest components, so a bucket
+    with one large component and a few strangers is done when the strangers have
+    met all. None, None: no bucket holds two components.
+    """
+    parts = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed_buckets = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    live = stored(live.join(parts.join(mixed_buckets, "bucket"), ["bucket", "component"]), "buckets")
+    if live.isEmpty():
+        return None, None
+    order = Window.partitionBy("bucket").orderBy("n", "node")
+    first = stored(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).select("bucket", F.col("node").alias("head"), F.col("component").alias("of"), "place"), "heads")
+    met = live.join(first, (live.bucket == first.bucket) & (live.component != first.of))
+    met = met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    pairs = stored(met.join(compared, ["a", "b"], "left_anti"), "pairs")
+    rest = live.join(first.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
+    return rest.select("bucket", "node", "component"), pairs
+
+
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each document row: (doc_id, n_shingles, component_id, kept, class_id, n_links).
 
@@ -182,21 +204,18 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stored(shingle_sets(texts), "sets")
 
     pairs = stored(live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    compared = pairs
-    live = live.where("node <> first").select("bucket", "node")
+    compared, labels, heads = pairs, None, 1
+    live = live.where("node <> first").select("bucket", "node", F.col("node").alias("component"))
     while True:
-        links = links.union(stored(_confirmed(pairs, packed, sets, percent), "edges"))
-        labels = stored(components(links), "labels")
-        live = live.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        ends = live.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("r"), F.min("component").alias("low"), F.max("component").alias("high"))
-        ends = ends.where("low <> high").select("bucket", F.col("r.node").alias("first"), F.col("r.component").alias("first_component"))
-        live = stored(live.join(ends, "bucket"), "buckets")
-        if live.isEmpty():
+        found = stored(_confirmed(pairs, packed, sets, percent), "edges")
+        if labels is None or not found.isEmpty():
+            links = links.union(found)
+            labels = stored(components(links), "labels")
+            live = live.select("bucket", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        live, pairs = _next_pairs(live, compared, heads)
+        if live is None:
             break
-        pairs = live.where("component <> first_component").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        compared = compared.union(pairs)
-        live = live.where("node <> first").select("bucket", "node")
+        compared, heads = compared.union(pairs), heads * GROWTH
 
     drop(sets, packed)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
