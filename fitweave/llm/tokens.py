@@ -2,9 +2,10 @@
 
 Rows are range-partitioned and sorted by doc_id, then each task encodes its texts
 and streams them to one file (see `seekable`), renamed when whole, so a task
-that runs again replaces its own file. Equal words of a task are encoded once:
-the tokenizer never joins characters across a blank or line feed, so a text's ids
-are those of its words in order.
+that runs again replaces its own file. Equal words of a worker are encoded once:
+this tokenizer ignores case and blanks and never joins letters with marks, so a
+text's ids are those of its words and marks in order (a tokenizer of another kind
+needs another `encoder`).
 
 Defined results: null and empty texts are the end id alone; rows with a null
 doc_id come first; repeated rows and ids are all written, rows of one id in an
@@ -20,18 +21,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fitweave.llm.bytesops import pieces
+from fitweave.llm.bytesops import LOWER, pieces, raw, table
 from fitweave.llm.seekable import Reader, Writer
 from fitweave.llm.steps import fresh_path, stored
 
 END_ID = 1
-#: Distinct words whose ids a worker keeps; beyond it starts afresh.
-KEPT_WORDS = 200_000
+#: Distinct words whose ids a worker keeps, beyond which it starts afresh; words encoded in one call.
+KEPT_WORDS, GROUP = 400_000, 64
+PIECE = 1 << 21
+#: Where a text may be cut without changing its ids: at blanks, and between an ASCII letter and a mark.
+BLANK = table((0x20, 0x20), (0x0A, 0x0A))
+LETTER = table((0x61, 0x7A))
+MARK = table((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 
 def default_tokenizer() -> str:
@@ -47,32 +52,57 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     from tokenizers import Tokenizer
 
     tokenizer, known = Tokenizer.from_file(path), {}
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(words: list[bytes]) -> None:
+        """Ids of new words; words of letters alone go in groups, told apart by their last ids."""
+        letters, others = [], []
+        for word in words:
+            text = word.decode()
+            (letters if text.isalpha() else others).append((word, text))
+        groups = [letters[low : low + GROUP] for low in range(0, len(letters), GROUP)]
+        for group, encoded in zip(groups, tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = np.flatnonzero(ends_word[ids]) + 1
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                others += group
+                continue
+            low = 0
+            for (word, _), high in zip(group, ends.tolist()):
+                known[word] = ids[low:high].tobytes()
+                low = high
+        for (word, _), encoded in zip(others, tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
+            known[word] = np.array(encoded.ids, dtype="<u4").tobytes()
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
-        words = pc.split_pattern(texts, " ")
-        coded = pc.list_flatten(words).dictionary_encode()
+        data, offsets = raw(texts)
+        cut = np.ones(len(data), dtype=bool)
+        blank = BLANK[data]
+        cut[1:] = blank[1:] != blank[:-1]
+        if b"<|" not in data.tobytes():  # else it may hold a special token, whose case and marks count
+            data = LOWER[data]
+            cut[1:] |= LETTER[data[:-1]] & MARK[data[1:]]
+        cut[offsets[offsets < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         missing = [w for w in distinct if w not in known]
         if len(known) + len(missing) > KEPT_WORDS:
             known.clear()
             missing = distinct
-        for low in range(0, len(missing), 4096):
-            some = missing[low : low + 4096]
-            for w, x in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(x.ids, dtype="<u4").tobytes()
+        learn(missing)
         packed = [known[w] for w in distinct]
         flat = np.frombuffer(b"".join(packed), dtype="<u4")
         lengths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
         firsts = np.cumsum(lengths) - lengths
         order = np.asarray(coded.indices)
         sizes = lengths[order]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(firsts[order] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(words)))])
-        reach = np.concatenate([[0], ends])
-        return ids, np.diff(reach[bounds])
+        reach = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(firsts[order] - reach[:-1], sizes) + np.arange(reach[-1])]
+        return ids, np.diff(reach[np.searchsorted(starts, offsets)])
 
     return encode
 
@@ -93,7 +123,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None
         encode, end = encoder(path), np.array([end_id], dtype="<u4")
         file = f"{uri}/part-{part:06d}.tokens"
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 writer = writer or Writer(file)
                 ids, sizes = encode(piece.column("text"))
                 high = np.cumsum(sizes)
@@ -129,7 +159,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     )
 
     placed = files.select("part", "file", F.coalesce(first, F.lit(0)).alias("first"))
-    placed = placed.repartition(F.col("part"))
+    placed = placed.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
     return placed.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file string")
 
 
