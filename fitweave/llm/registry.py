@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "tokens", "rules", "toxicity", "secrets", "decontaminate"]
+MODULES = ["minhash", "tokens", "rules", "toxicity", "secrets", "quality", "decontaminate"]
 
 
 def collect(attribute: str) -> dict:
