@@ -13,7 +13,8 @@ partner is capped, and a group of copies costs as many pairs as it has members.
 
 A pair at the threshold misses all bands with probability
 (1 - 0.75^ROWS)^BANDS, about 2e-5, and the five-sigma margin of the
-sketch test with about 3e-7.
+sketch test with about 3e-7. Members of buckets that stay mixed get a longer sketch of one
+bit a minimum, so that few pairs below the threshold ask for whole sets.
 
 Defined results: null, empty and wordless texts have no shingles and link with
 nothing; a text of fewer than five words is one shingle; rows that share a
@@ -35,12 +36,11 @@ from fitweave.llm.graph import components
 from fitweave.llm.steps import drop, stored
 
 WIDTH, BANDS, ROWS, BITS, PERCENT = 5, 40, 5, 4, 75
-#: The heads that a mixed bucket compares grow by this factor from round to round.
-GROWTH = 8
+#: The heads that a mixed bucket compares in a round grow by this factor up to this number; rounds go on until all are done.
+GROWTH, MOST_HEADS = 16, 128
 MINIMA = BANDS * ROWS
-LANES = 64 // BITS
-LONGS = -(-MINIMA // LANES)
-_SEEDS = mixed(np.arange(7, 7 + MINIMA, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+#: Minima of the long sketch, one bit each, that members of mixed buckets get for a sharper test.
+LONG_MINIMA = 2048
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,24 +59,26 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, bounds[:-1], np.where(lengths >= WIDTH, lengths - WIDTH + 1, np.minimum(lengths, 1))
 
 
-def _minima(values: np.ndarray) -> np.ndarray:
-    """The MINIMA least values of as many hash functions."""
-    least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+def _minima(values: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    """The least values of ``count`` hash functions."""
+    seeds = mixed(np.arange(7, 7 + count, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    least = np.full(count, 0xFFFFFFFF, dtype=np.uint32)
     small = (values >> np.uint64(32)).astype(np.uint32)
-    for low in range(0, len(small), 256):
-        x = small[None, low : low + 256] * _SEEDS[:, None]
+    block = max(16, 256 * MINIMA // count)
+    for low in range(0, len(small), block):
+        x = small[None, low : low + block] * seeds[:, None]
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x85EBCA6B)
         np.minimum(least, x.min(axis=1), out=least)
     return least
 
 
-def _sketch(minima: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each of the minima, LANES to a long; spare lanes are zero."""
-    lanes = np.zeros(LONGS * LANES, dtype=np.uint64)
-    lanes[:MINIMA] = minima & np.uint32((1 << BITS) - 1)
-    shifted = lanes.reshape(LONGS, LANES) << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))
-    return np.bitwise_or.reduce(shifted, axis=1)
+def _sketch(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low ``bits`` bits of each of the minima, packed into longs; spare lanes are zero."""
+    width = 64 // bits
+    lanes = np.zeros(-(-len(minima) // width) * width, dtype=np.uint64)
+    lanes[: len(minima)] = minima & np.uint32((1 << bits) - 1)
+    return np.bitwise_or.reduce(lanes.reshape(-1, width) << (np.arange(width, dtype=np.uint64) * np.uint64(bits)), axis=1)
 
 
 def _band_keys(minima: np.ndarray) -> np.ndarray:
@@ -131,25 +133,39 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     return documents.select("node", F.col("text").cast("string").alias("text")).mapInArrow(scan, "node bigint, shingles array<bigint>")
 
 
-def estimated_similarity(one: Column, two: Column) -> Column:
+def long_sketches(sets: DataFrame) -> DataFrame:
+    """(node, size, long) of each set: one bit of each of LONG_MINIMA minima."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.asarray(x.values).view(np.uint64) for x in batch.column("shingles")]
+            yield pa.record_batch(
+                [batch.column("node"), pa.array([len(v) for v in values], pa.int64()), _longs([_sketch(_minima(v, LONG_MINIMA), 1) for v in values])], names=["node", "size", "long"]
+            )
+
+    return sets.mapInArrow(scan, "node bigint, size bigint, long array<bigint>")
+
+
+def estimated_similarity(one: Column, two: Column, bits: int = BITS, minima: int = MINIMA) -> Column:
     """Similarity from packed low bits: equal lanes by bit counts, less those that agree by chance."""
-    ones = F.lit(int("1" * LANES, 1 << BITS) - (1 << 64 if int("1" * LANES, 1 << BITS) >> 63 else 0))
+    lane_ones = sum(1 << place for place in range(0, 64, bits))
+    ones = F.lit(lane_ones - (1 << 64 if lane_ones >> 63 else 0))
 
     def differing(x: Column, y: Column) -> Column:
         z = x.bitwiseXOR(y)
-        folded = reduce(lambda f, i: f.bitwiseOR(F.shiftrightunsigned(z, i)), range(1, BITS), z)
-        return F.bit_count(folded.bitwiseAND(ones))
+        folded = reduce(lambda f, i: f.bitwiseOR(F.shiftrightunsigned(z, i)), range(1, bits), z)
+        return F.bit_count(folded.bitwiseAND(ones) if bits > 1 else folded)
 
     unequal = F.aggregate(F.zip_with(one, two, differing), F.lit(0), lambda n, x: n + x)
-    chance = 1 / (1 << BITS)
-    return (1 - unequal / MINIMA - chance) / (1 - chance)
+    chance = 1 / (1 << bits)
+    return (1 - unequal / minima - chance) / (1 - chance)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, bits: int = BITS, minima: int = MINIMA) -> float:
     """The threshold less five standard deviations of the estimate."""
-    chance = 1 / (1 << BITS)
+    chance = 1 / (1 << bits)
     agree = chance + (1 - chance) * percent / 100
-    return percent / 100 - 5 * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
+    return percent / 100 - 5 * (agree * (1 - agree) / minima) ** 0.5 / (1 - chance)
 
 
 def _confirmed(pairs: DataFrame, packed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,12 +177,13 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, sets: DataFrame, percent: in
     return whole.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def _next_pairs(live: DataFrame, compared: DataFrame, heads: int) -> tuple[DataFrame | None, DataFrame | None]:
+def _next_pairs(live: DataFrame, sets: DataFrame, compared: DataFrame, heads: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Buckets that still hold several components, without this round's heads; the pairs of those heads.
 
     The heads of a bucket are members of its rarest components, so a bucket
     with one large component and a few strangers is done when the strangers have
-    met all. None, None: no bucket holds two components.
+    met all. Every member meets the heads' sketches in place, as one list, and
+    only pairs that may reach the threshold become rows. None, None: no bucket holds two components.
     """
     parts = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed_buckets = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
@@ -174,11 +191,18 @@ def _next_pairs(live: DataFrame, compared: DataFrame, heads: int) -> tuple[DataF
     if live.isEmpty():
         return None, None
     order = Window.partitionBy("bucket").orderBy("n", "node")
-    first = stored(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).select("bucket", F.col("node").alias("head"), F.col("component").alias("of"), "place"), "heads")
-    met = live.join(first, (live.bucket == first.bucket) & (live.component != first.of))
+    first = stored(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).select("bucket", "node", "component"), "heads")
+    sharp = stored(long_sketches(sets.join(live.select("node").distinct(), "node", "left_semi")), "long")
+    head = F.struct("node", "component", "size", "long")
+    packs = first.join(sharp, "node").groupBy("bucket").agg(F.collect_list(head).alias("heads"))  # at most MOST_HEADS each
+    near = F.filter(
+        "heads",
+        lambda h: (h["component"] != F.col("component")) & (F.col("size") * 100 >= percent * h["size"]) & (h["size"] * 100 >= percent * F.col("size")) & (estimated_similarity(h["long"], F.col("long"), 1, LONG_MINIMA) >= least_estimate(percent, 1, LONG_MINIMA)),
+    )
+    met = live.join(sharp, "node").join(packs, "bucket").select("node", F.explode(F.transform(near, lambda h: h["node"])).alias("head"))
     met = met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     pairs = stored(met.join(compared, ["a", "b"], "left_anti"), "pairs")
-    rest = live.join(first.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
+    rest = live.join(first.select("bucket", "node"), ["bucket", "node"], "left_anti")
     return rest.select("bucket", "node", "component"), pairs
 
 
@@ -199,12 +223,12 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("bucket", "first")
     live = stored(members.join(shared, "bucket").select("bucket", "node", "first"), "buckets")
-    packed = stored(classes.join(live.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "packed")
+    packed = stored(classes.join(live.select("node").distinct(), "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "sketch"), "packed")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(packed.select("node"), "node", "left_semi")
     sets = stored(shingle_sets(texts), "sets")
 
     pairs = stored(live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    compared, labels, heads = pairs, None, 1
+    compared, labels, heads = pairs, None, GROWTH
     live = live.where("node <> first").select("bucket", "node", F.col("node").alias("component"))
     while True:
         found = stored(_confirmed(pairs, packed, sets, percent), "edges")
@@ -212,10 +236,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             links = links.union(found)
             labels = stored(components(links), "labels")
             live = live.select("bucket", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        live, pairs = _next_pairs(live, compared, heads)
+        live, pairs = _next_pairs(live, sets, compared, heads, percent)
         if live is None:
             break
-        compared, heads = compared.union(pairs), heads * GROWTH
+        compared, heads = compared.union(pairs), min(MOST_HEADS, heads * GROWTH)
 
     drop(sets, packed)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
