@@ -6,10 +6,10 @@ minima only the low bits are kept, packed into a sketch; whole minima only feed
 the band keys. In a bucket of equal band keys every member meets the bucket's
 first member, not every other. A pair's sketches are compared by counting equal
 lanes, corrected for lanes that agree by chance; pairs that may reach the
-threshold are confirmed on whole sets. Buckets whose members are not yet in one
-component then go on with further heads, members of their rarest components,
-until every pair of a bucket has been compared or lies in one component; no
-partner is capped, and a group of copies costs as many pairs as it has members.
+threshold are confirmed on whole sets. In buckets whose members are then not in one
+component, those outside its largest component meet all members, so every pair
+of a bucket has been compared or lies in one component; no partner is capped,
+and a group of copies costs as many pairs as it has members.
 
 A pair at the threshold misses all bands with probability
 (1 - 0.75^ROWS)^BANDS, about 2e-5, and the five-sigma margin of the
@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitweave.llm.bytesops import LOWER, SPACES, Spans, mixed, pieces, raw, runs
@@ -36,8 +36,8 @@ from fitweave.llm.graph import components
 from fitweave.llm.steps import drop, stored
 
 WIDTH, BANDS, ROWS, BITS, PERCENT = 5, 40, 5, 4, 75
-#: The heads that a mixed bucket compares in a round grow by this factor up to this number; rounds go on until all are done.
-GROWTH, MOST_HEADS = 16, 128
+#: Sketches in one list that members of a mixed bucket meet; there are as many lists as it takes.
+LISTED = 256
 MINIMA = BANDS * ROWS
 #: Minima of the long sketch, one bit each, that members of mixed buckets get for a sharper test.
 LONG_MINIMA = 2048
@@ -177,33 +177,28 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, sets: DataFrame, percent: in
     return whole.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def _next_pairs(live: DataFrame, sets: DataFrame, compared: DataFrame, heads: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Buckets that still hold several components, without this round's heads; the pairs of those heads.
+def _pairs_across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share a bucket and may reach the threshold by their long sketches.
 
-    The heads of a bucket are members of its rarest components, so a bucket
-    with one large component and a few strangers is done when the strangers have
-    met all. Every member meets the heads' sketches in place, as one list, and
-    only pairs that may reach the threshold become rows. None, None: no bucket holds two components.
+    live: (bucket, node, component). In each bucket with several components the
+    members outside its largest one are strangers; every member meets every
+    stranger's sketch in place, in lists of about LISTED, and only pairs that may
+    reach the threshold become rows. A bucket of one component costs nothing.
     """
     parts = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed_buckets = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    live = stored(live.join(parts.join(mixed_buckets, "bucket"), ["bucket", "component"]), "buckets")
-    if live.isEmpty():
-        return None, None
-    order = Window.partitionBy("bucket").orderBy("n", "node")
-    first = stored(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= heads).select("bucket", "node", "component"), "heads")
+    largest = F.max(F.struct("n", "component"))
+    mixed_buckets = parts.groupBy("bucket").agg(largest.alias("most"), F.sum("n").alias("members")).where("most.n < members")
+    live = stored(live.join(mixed_buckets.select("bucket", F.col("most.component").alias("main"), (F.col("members") - F.col("most.n")).alias("strangers")), "bucket"), "mixed")
     sharp = stored(long_sketches(sets.join(live.select("node").distinct(), "node", "left_semi")), "long")
-    head = F.struct("node", "component", "size", "long")
-    packs = first.join(sharp, "node").groupBy("bucket").agg(F.collect_list(head).alias("heads"))  # at most MOST_HEADS each
+    live = live.join(sharp, "node")
+    lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("strangers") / LISTED))
+    heads = live.where("component <> main").groupBy("bucket", lot.alias("lot")).agg(F.collect_list(F.struct("node", "component", "size", "long")).alias("heads"))
     near = F.filter(
         "heads",
         lambda h: (h["component"] != F.col("component")) & (F.col("size") * 100 >= percent * h["size"]) & (h["size"] * 100 >= percent * F.col("size")) & (estimated_similarity(h["long"], F.col("long"), 1, LONG_MINIMA) >= least_estimate(percent, 1, LONG_MINIMA)),
-    )
-    met = live.join(sharp, "node").join(packs, "bucket").select("node", F.explode(F.transform(near, lambda h: h["node"])).alias("head"))
-    met = met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
-    pairs = stored(met.join(compared, ["a", "b"], "left_anti"), "pairs")
-    rest = live.join(first.select("bucket", "node"), ["bucket", "node"], "left_anti")
-    return rest.select("bucket", "node", "component"), pairs
+    )
+    met = live.select("bucket", "node", "component", "size", "long").join(heads, "bucket").select("node", F.explode(F.transform(near, lambda h: h["node"])).alias("head"))
+    return met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -228,18 +223,13 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stored(shingle_sets(texts), "sets")
 
     pairs = stored(live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    compared, labels, heads = pairs, None, GROWTH
-    live = live.where("node <> first").select("bucket", "node", F.col("node").alias("component"))
-    while True:
-        found = stored(_confirmed(pairs, packed, sets, percent), "edges")
-        if labels is None or not found.isEmpty():
-            links = links.union(found)
-            labels = stored(components(links), "labels")
-            live = live.select("bucket", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        live, pairs = _next_pairs(live, sets, compared, heads, percent)
-        if live is None:
-            break
-        compared, heads = compared.union(pairs), min(MOST_HEADS, heads * GROWTH)
+    links = links.union(stored(_confirmed(pairs, packed, sets, percent), "edges"))
+    labels = stored(components(links), "labels")
+    live = live.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    more = stored(_confirmed(stored(_pairs_across(live, sets, percent), "pairs"), packed, sets, percent), "edges")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = stored(components(links), "labels")
 
     drop(sets, packed)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -29,7 +29,7 @@ from fitweave.llm.bytesops import LOWER, SPACES, Spans, mixed, pieces, raw, runs
 from fitweave.llm.steps import crc_fold, stored
 
 SAMPLE_ROWS = 20_000
-BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 32, 12, 8, 120, 40, 0.1
+BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 32, 16, 8, 120, 80, 0.1
 DEPTH, LEAST_ROWS, RIDGE = 2, 20, 1.0
 
 _CLASSES = {
@@ -106,22 +106,36 @@ def _leaf(g: np.ndarray, h: np.ndarray) -> float:
     return float(-g.sum() / (h.sum() + RIDGE))
 
 
-def _tree(g: np.ndarray, h: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
-    """Leaf value of each cell of a one- or two-dimensional histogram: a tree of axis splits."""
-    best, cut = 1e-6, None
-    if depth:
-        whole = g.sum() ** 2 / (h.sum() + RIDGE)
-        for axis in range(g.ndim):
-            others = tuple(a for a in range(g.ndim) if a != axis)
-            left_g, left_h, left_n = (np.cumsum(x.sum(axis=others))[:-1] for x in (g, h, n))
-            gain = left_g**2 / (left_h + RIDGE) + (g.sum() - left_g) ** 2 / (h.sum() - left_h + RIDGE) - whole
-            gain[(left_n < LEAST_ROWS) | (n.sum() - left_n < LEAST_ROWS)] = 0
-            if len(gain) and gain.max() > best:
-                best, cut = gain.max(), (axis, int(gain.argmax()) + 1)
-    if cut is None:
+def _tree(g: np.ndarray, h: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Leaf value of each bin: a tree of splits over one measurement's histogram."""
+    left_g, left_h, left_n = np.cumsum(g)[:-1], np.cumsum(h)[:-1], np.cumsum(n)[:-1]
+    gain = left_g**2 / (left_h + RIDGE) + (g.sum() - left_g) ** 2 / (h.sum() - left_h + RIDGE) - g.sum() ** 2 / (h.sum() + RIDGE)
+    gain[(left_n < LEAST_ROWS) | (n.sum() - left_n < LEAST_ROWS)] = 0
+    if not depth or not len(gain) or gain.max() <= 1e-6:
         return np.full(g.shape, _leaf(g, h))
-    axis, place = cut
-    return np.concatenate([_tree(*(np.split(x, [place], axis=axis)[side] for x in (g, h, n)), depth - 1) for side in (0, 1)], axis=axis)
+    place = int(gain.argmax()) + 1
+    return np.concatenate([_tree(g[:place], h[:place], n[:place], depth - 1), _tree(g[place:], h[place:], n[place:], depth - 1)])
+
+
+def _quadrants(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """(leaf value of each cell, gain) of the best tree that cuts both measurements of a pair once."""
+    quarter = []
+    for x in (g, h, n):
+        low = np.cumsum(np.cumsum(x, axis=0), axis=1)
+        up, left, whole = low[:-1, -1:], low[-1:, :-1], low[-1, -1]
+        low = low[:-1, :-1]
+        quarter.append((low, up - low, left - low, whole - up - left + low))
+    if not quarter[0][0].size:
+        return np.zeros(g.shape), 0.0
+    gain = sum(a**2 / (b + RIDGE) for a, b in zip(quarter[0], quarter[1]))
+    gain = np.where(np.minimum.reduce(quarter[2]) >= LEAST_ROWS, gain, 0)
+    i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+    if gain[i, j] <= 1e-6:
+        return np.zeros(g.shape), 0.0
+    leaves = [-quarter[0][q][i, j] / (quarter[1][q][i, j] + RIDGE) for q in range(4)]
+    out = np.empty(g.shape)
+    out[: i + 1, : j + 1], out[: i + 1, j + 1 :], out[i + 1 :, : j + 1], out[i + 1 :, j + 1 :] = leaves
+    return out, float(gain[i, j])
 
 
 def train(rows: np.ndarray, labels: np.ndarray) -> Model:
@@ -144,22 +158,20 @@ def train(rows: np.ndarray, labels: np.ndarray) -> Model:
 
     for _ in range(ROUNDS):
         for k, cells in enumerate(fine):
-            step = RATE * _tree(*histograms(cells, len(model.tables[k])), DEPTH)
+            step = RATE * _tree(*histograms(cells, len(model.tables[k])))
             model.tables[k] += step
             z += step[cells]
     grids = {}
     for a in range(rows.shape[1]):
         for b in range(a):
             shape = (len(model.coarse[a]) + 1, len(model.coarse[b]) + 1)
-            g, h, n = (x.reshape(shape) for x in histograms(coarse[a] * shape[1] + coarse[b], shape[0] * shape[1]))
-            leaves = _tree(g, h, n, DEPTH)
-            grids[a, b] = float((-g * leaves - 0.5 * h * leaves**2).sum())
+            grids[a, b] = _quadrants(*(x.reshape(shape) for x in histograms(coarse[a] * shape[1] + coarse[b], shape[0] * shape[1])))[1]
     model.pairs = sorted(grids, key=lambda p: (-grids[p], p))[:PAIRS]
     model.pair_tables = [np.zeros((len(model.coarse[a]) + 1, len(model.coarse[b]) + 1)) for a, b in model.pairs]
     for _ in range(PAIR_ROUNDS):
         for (a, b), grid in zip(model.pairs, model.pair_tables):
             cells = coarse[a] * grid.shape[1] + coarse[b]
-            step = RATE * _tree(*(x.reshape(grid.shape) for x in histograms(cells, grid.size)), DEPTH)
+            step = RATE * _quadrants(*(x.reshape(grid.shape) for x in histograms(cells, grid.size)))[0]
             grid += step
             z += step.ravel()[cells]
     return model

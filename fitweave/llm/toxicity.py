@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings under a linear softmax.
 
-A word is the bag of its own slot and of the slots of its character n-grams, so
-an unseen misspelling still shares most of its vector with the word it hides.
+A word is the bag of the slots of its character n-grams (a short word is one of
+them), so an unseen misspelling shares most of its vector with the word it hides.
 A passage of PASSAGE words is the mean of its words' vectors; two linear outputs
 and a softmax give its probability. A text's score is that of its worst passage,
 so a few words in a long text are not averaged away. Embeddings and the linear
@@ -51,11 +51,10 @@ class Model:
 def _word_slots(starts: np.ndarray, ends: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
     """(slots of all words one after another, number of each word's slots)."""
     sizes = ends - starts
-    counts = 1 + sum(np.maximum(0, sizes + 2 - g + 1) for g in GRAMS)
+    counts = sum(np.maximum(0, sizes + 2 - g + 1) for g in GRAMS)
     firsts = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), dtype=np.int64)
-    out[firsts] = spans.hashes(starts, ends) & np.uint64(SLOTS - 1)
-    used = np.ones(len(starts), dtype=np.int64)
+    used = np.zeros(len(starts), dtype=np.int64)
     for g in GRAMS:
         n = np.maximum(0, sizes + 2 - g + 1)  # n-grams over the word with a mark on either side
         word = np.repeat(np.arange(len(starts)), n)
