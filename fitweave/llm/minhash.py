@@ -188,7 +188,8 @@ def _pairs_across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = F.max(F.struct("n", "component"))
     mixed_buckets = parts.groupBy("bucket").agg(largest.alias("most"), F.sum("n").alias("members")).where("most.n < members")
-    live = stored(live.join(mixed_buckets.select("bucket", F.col("most.component").alias("main"), (F.col("members") - F.col("most.n")).alias("strangers")), "bucket"), "mixed")
+    mixed_buckets = stored(mixed_buckets.select("bucket", F.col("most.component").alias("main"), (F.col("members") - F.col("most.n")).alias("strangers")), "mixed")
+    live = stored(live.join(mixed_buckets, "bucket"), "members")
     sharp = stored(long_sketches(sets.join(live.select("node").distinct(), "node", "left_semi")), "long")
     live = live.join(sharp, "node")
     lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("strangers") / LISTED))
@@ -217,7 +218,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("bucket", "first")
-    live = stored(members.join(shared, "bucket").select("bucket", "node", "first"), "buckets")
+    live = stored(members.join(stored(shared, "shared"), "bucket").select("bucket", "node", "first"), "buckets")
     packed = stored(classes.join(live.select("node").distinct(), "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "sketch"), "packed")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(packed.select("node"), "node", "left_semi")
     sets = stored(shingle_sets(texts), "sets")

@@ -139,7 +139,8 @@ def repeated_positions(rows: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """(id, h, start, stop): ranges of positions whose ``length`` bytes start elsewhere too; rows have id, h, text."""
     runs = stored(_runs(rows, length, gram), "runs")
     grams = runs.groupBy("gram").agg(F.count("*").alias("times"), F.min("cover").alias("low"), F.max("cover").alias("high")).where("times > 1")
-    shared = stored(runs.join(grams.select("gram", (F.col("low") != F.col("high")).alias("mixed")), "gram"), "shared")
+    grams = stored(grams.select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")  # apart from the join, so that Spark may split a frequent gram's rows there
+    shared = stored(runs.join(grams, "gram"), "shared")
     drop(runs)
     alike = shared.where("mixed").groupBy("gram", "cover").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "lo", "n", "d")).alias("r"))
     alike = stored(alike.select("gram", "cover", "times", F.monotonically_increasing_id().alias("aid"), "r.*"), "asked")
@@ -151,7 +152,8 @@ def repeated_positions(rows: DataFrame, length: int = LENGTH, gram: int = GRAM)
     for width, next_width in zip(WIDTHS, (*WIDTHS[1:], None)):
         parts = stored(_parts(asked, width, length).dropDuplicates(["aid", "x"]), "parts")
         cores = parts.groupBy("core").agg(F.count("*").alias("times"), F.min("cover").alias("low"), F.max("cover").alias("high")).where("times > 1")
-        common = stored(parts.join(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "core"), "common")
+        cores = stored(cores.select("core", (F.col("low") != F.col("high")).alias("mixed")), "cores")
+        common = stored(parts.join(cores, "core"), "common")
         drop(parts)
         groups = stored(common.where("mixed").groupBy("core", "cover").agg(F.count("*").alias("times"), F.min(F.struct("aid", "x")).alias("r")), "groups")
         twice = common.where("mixed").join(groups.where("times > 1").select("core", "cover"), ["core", "cover"], "left_semi")
