@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from fitweave.functions.constants import NULL_WORDS
 from fitweave.functions.text import squeeze, strip
@@ -24,12 +20,6 @@ def clean_text(value: Column) -> Column:
     return F.when((text != "") & ~F.lower(text).isin(NULL_WORDS), text)
 
 
-@F.pandas_udf(StringType())
-def unescape_any(text: pd.Series) -> pd.Series:
-    """Every entity of the HTML standard; for texts with rare entities only."""
-    return text.map(html.unescape, na_action="ignore")
-
-
 def unescape(text: Column) -> Column:
     """Common named entities and numeric ones, inside the JVM."""
     for name, char in _ENTITIES.items():

@@ -59,16 +59,6 @@ def snippets(body: Column, quote_chars: int | None = None) -> Column:
     return F.transform(parts, lambda s: F.left(s, F.lit(quote_chars))) if quote_chars else parts
 
 
-def label_pattern(label: str) -> str:
-    """Label between non-alphanumeric ASCII characters, case-insensitive."""
-    return rf"(?iu)(?<![a-z0-9]){quote(label)}(?![a-z0-9])"
-
-
-def word_pattern(label: str) -> str:
-    """Label between non-word characters (Unicode words), case-insensitive."""
-    return rf"(?iU)(?<!\w){quote(label)}(?!\w)"
-
-
 def quoted(label: Column) -> Column:
     """Column form of :func:`quote`."""
     return F.regexp_replace(label, r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")

@@ -20,22 +20,27 @@ def ordered_union(sources: list[DataFrame]) -> DataFrame:
 def greedy_dedup(rows: DataFrame, id_column: str = "identity", url_column: str = "url", order: str = "ord") -> DataFrame:
     """D3: keep a row iff no already kept row (in order) has its identity or its link; exact, not two dropDuplicates.
 
+    A null identity or link is no key: it equals no other, so a row without both is kept.
+
     Rounds: a row that comes first for both its keys is kept; rows sharing a key
     with a kept row leave. Each round works on undecided key pairs only, equal pairs
     are one row, and the accept step joins on the row's own order, so a key shared by
     many rows is only ever aggregated. ``order`` must be unique.
     """
-    pairs = rows.groupBy(F.col(id_column).alias("k1"), F.col(url_column).alias("k2")).agg(F.min(order).alias("o"))
+    keyless = F.col(id_column).isNull() & F.col(url_column).isNull()
+    pairs = rows.where(~keyless).groupBy(F.col(id_column).alias("k1"), F.col(url_column).alias("k2")).agg(F.min(order).alias("o"))
     undecided = checkpointed(pairs)
-    kept: list[DataFrame] = []
+    kept = [rows.where(keyless).select(F.col(order).alias("o"))]
+
+    def first_of(key: str) -> DataFrame:
+        """(o, key) of rows that come first for their key, and of rows without it."""
+        keyed = undecided.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("o").alias("o"))
+        return keyed.select("o", key).unionByName(undecided.where(F.col(key).isNull()).select("o", key))
+
     while not undecided.isEmpty():
-        first_id = undecided.groupBy("k1").agg(F.min("o").alias("o"))
-        first_url = undecided.groupBy("k2").agg(F.min("o").alias("o"))
-        accepted = checkpointed(first_id.join(first_url, "o"))
+        accepted = checkpointed(first_of("k1").join(first_of("k2"), "o"))
         kept.append(accepted.select("o"))
         undecided = checkpointed(undecided.join(accepted.select("k1"), "k1", "left_anti").join(accepted.select("k2"), "k2", "left_anti"))
-    if not kept:
-        return rows.limit(0)
     return rows.join(reduce(DataFrame.unionByName, kept).withColumnRenamed("o", order), order, "left_semi")
 
 
@@ -85,10 +90,9 @@ def crawl_pages(rows: DataFrame) -> DataFrame:
 def crawl_results(rows: DataFrame, limits: DataFrame, max_pages: int = 8) -> DataFrame:
     """Distinct rows per query in page order up to its limit, within the page budget.
 
-    rows (query_id, page, place, job_id), limits (query_id, limit <= 100).
+    rows (query_id, page, place, job_id), limits (query_id, limit).
     """
     pages = crawl_pages(rows.where(F.col("page") < max_pages)).where("not stopped").select("query_id", "page")
     first = rows.join(pages, ["query_id", "page"]).groupBy("query_id", "job_id").agg(F.min(F.struct("page", "place")).alias("at"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("at", "job_id"))
-    top = first.withColumn("rank", order).where(F.col("rank") <= 100)
-    return top.join(limits, "query_id").where(F.col("rank") <= F.col("limit")).select("query_id", "rank", "job_id", F.col("at.page").alias("page"))
+    return first.withColumn("rank", order).join(limits, "query_id").where(F.col("rank") <= F.col("limit")).select("query_id", "rank", "job_id", F.col("at.page").alias("page"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitweave.functions.constants import (
-    CLIENT_WORDS, COUNTRY_CITIES, COUNTRY_NAMES, GITHUB_RESERVED, LANGUAGE_LEVELS, LOW_TEXT_CHARS)
+    CLIENT_WORDS, CITY_COUNTRY, COUNTRY_NAMES, GITHUB_RESERVED, LANGUAGE_LEVELS, LOW_TEXT_CHARS)
 from fitweave.functions.text import blank_to_null, distinct_ignoring_case, let, literal_map, strip
 from fitweave.operators.skills import tidy_skill_list
 
@@ -52,16 +52,11 @@ def marked_page(page_no: Column, text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("--- page "), page_no, F.lit(" ---\n"), text), r"(?U)\s+$", "")
 
 
-def documents(pages: DataFrame, pages_per_row: int = 200) -> DataFrame:
-    """Document texts (doc_id, segment, text), pages in order under their markers.
-
-    A document of up to ``pages_per_row`` pages is one row; a longer one continues in
-    further segments, so no document is gathered without bound.
-    """
-    segment = F.floor((F.col("page_no") - 1) / pages_per_row).cast("int").alias("segment")
-    rows = pages.groupBy("doc_id", segment).agg(F.array_sort(F.collect_list(F.struct(
+def documents(pages: DataFrame) -> DataFrame:
+    """Document texts (doc_id, text), one row for each document, its pages in order under their markers."""
+    rows = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
         "page_no", marked_page(F.col("page_no"), F.col("text")).alias("page")))).alias("pages"))
-    return rows.select("doc_id", "segment", F.array_join(F.transform("pages", lambda p: p["page"]), "\n\n").alias("text"))
+    return rows.select("doc_id", F.array_join(F.transform("pages", lambda p: p["page"]), "\n\n").alias("text"))
 
 
 def text_quality(text: Column) -> Column:
@@ -163,8 +158,7 @@ def country_name(value: Column) -> Column:
 
 
 def city_country(city: Column) -> Column:
-    cities = {city_name: country for country, names in COUNTRY_CITIES.items() for city_name in names}
-    return literal_map(cities)[F.lower(blank_to_null(city))]
+    return literal_map(CITY_COUNTRY)[F.lower(blank_to_null(city))]
 
 
 def full_location(city: Column, country: Column, raw: Column) -> Column:

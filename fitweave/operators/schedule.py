@@ -15,7 +15,12 @@ def interval_after(rating: Column, baseline: Column) -> Column:
         F.least(F.lit(REVIEW_MAX_DAYS), F.greatest(F.lit(REVIEW_FIRST_DAYS), baseline * 2)))
 
 
-def review_days(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def review_day(ts: Column, zone: str) -> Column:
+    """Calendar day of a moment in ``zone``, whatever the session's zone."""
+    return F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(ts, F.current_timezone()), zone))
+
+
+def review_days(events: DataFrame, start: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
     """Events (profile_id, skill_id, ts, event_id, rating) -> state after each review day.
 
     A repeat on one day reuses that day's baseline, so only the last rating of a
@@ -24,7 +29,7 @@ def review_days(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
     min(30, max(7 * 2^(n-1), start * 2^n)), so no fold over events is needed.
     """
     key = ["profile_id", "skill_id"]
-    days = events.groupBy(*key, F.to_date("ts").alias("day")).agg(F.max_by("rating", F.struct("ts", "event_id")).alias("recall"))
+    days = events.groupBy(*key, review_day(F.col("ts"), zone).alias("day")).agg(F.max_by("rating", F.struct("ts", "event_id")).alias("recall"))
     days = days.join(start.select(*key, F.col("interval_days").alias("start_days")), key, "left") if start is not None \
         else days.withColumn("start_days", F.lit(0))
     history = Window.partitionBy(*key).orderBy("day")
@@ -45,9 +50,9 @@ def review_days(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
                        F.date_add("day", F.col("interval_days")).alias("review_on"))
 
 
-def review_state(events: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def review_state(events: DataFrame, start: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
     """Latest state per (profile_id, skill_id)."""
-    days = review_days(events, start)
+    days = review_days(events, start, zone)
     return days.groupBy("profile_id", "skill_id").agg(
         F.max_by(F.struct("interval_days", "interval_before", F.col("day").alias("last_reviewed"), "review_on", "recall"), "day").alias("s")
     ).select("profile_id", "skill_id", "s.*")

@@ -112,9 +112,9 @@ def _shorter_labels(labels: list[str]) -> dict[str, list[int]]:
     return result
 
 
-def _may_equal_a_key(lowered: Column) -> Column:
-    """Cheap exact guard: only texts with few key characters can equal a label's key."""
-    return lowered.rlike(r"^[^a-z0-9+.#&]*+(?:[a-z0-9+.#&][^a-z0-9+.#&]*+){0,60}+$")
+def _may_equal_a_key(lowered: Column, longest: int) -> Column:
+    """Cheap exact guard: a text with more key characters than the longest key of the vocabulary equals none."""
+    return lowered.rlike(rf"^[^a-z0-9+.#&]*+(?:[a-z0-9+.#&][^a-z0-9+.#&]*+){{0,{longest}}}+$")
 
 
 def base_mentions(text: Column) -> Column:
@@ -128,7 +128,7 @@ def base_mentions(text: Column) -> Column:
         same_key.setdefault(plain_key(label), []).append(position)
     by_key = literal_map(same_key)
     nothing = F.array().cast("array<int>")
-    whole = F.coalesce(F.when(_may_equal_a_key(lowered), by_key[skill_key(text)]), nothing)
+    whole = F.coalesce(F.when(_may_equal_a_key(lowered, max(map(len, same_key))), by_key[skill_key(text)]), nothing)
     ordinals = F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(hits, lambda h: closure[h])), whole)))
     names = literal_array(labels)
     return F.coalesce(F.transform(ordinals, lambda o: F.element_at(names, o + 1)), F.array().cast("array<string>"))
@@ -162,7 +162,8 @@ def vocabulary_mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0)))).alias("anchor"))
     candidates = tokens.join(wanted, "anchor").select("doc_id", "label")
     checked = candidates.join(docs, "doc_id").where(mentions_label(F.col("text"), F.col("label")))
-    short = docs.where(_may_equal_a_key(F.lower("text"))).select("doc_id", skill_key(F.col("text")).alias("key"))
+    longest = wanted.select(F.max(F.length(skill_key(F.col("label"))))).first()[0] or 0
+    short = docs.where(_may_equal_a_key(F.lower("text"), longest)).select("doc_id", skill_key(F.col("text")).alias("key"))
     same = short.join(wanted.select("label", skill_key(F.col("label")).alias("key")), "key")
     return checked.select("doc_id", "label").unionByName(same.select("doc_id", "label")).distinct()
 

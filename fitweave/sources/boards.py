@@ -15,6 +15,8 @@ from fitweave.functions.html import clean_text, plain_text
 from fitweave.functions.text import literal_map
 from fitweave.functions.urls import is_web_url
 
+#: Why a whole payload could not be read.
+PAYLOAD_PROBLEMS = ["unexpected record list", "invalid pagination metadata", "ignored a requested filter"]
 FIELDS = ["source", "board", "rec_no", "job_id", "title", "company", "location", "application_url", "description", "posted_at",
           "employment_type", "workplace_type", "salary", "reject"]
 
@@ -35,17 +37,23 @@ def workplace_type(value: Column) -> Column:
 def posted_time(value: Column) -> Column:
     """ISO date or time text as timestamp; without an offset it is UTC."""
     shaped = value.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$")
-    return F.when(shaped, F.try_to_timestamp(value))
+    whole = F.regexp_replace(value, r"^(.{10}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
+    moment = F.when(F.length(value) == 10, F.concat(value, F.lit("T00:00:00Z"))).when(
+        value.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), whole).otherwise(F.concat(whole, F.lit("Z")))
+    return F.when(shaped, F.try_to_timestamp(moment))
 
 
 def _filled(*values: Column) -> Column:
     return F.coalesce(*[F.when(v != "", v) for v in values])
 
 
-def _records(payloads: DataFrame, items: Column, schema: str) -> DataFrame:
-    rows = payloads.withColumn("items", items)
-    rows = rows.select("source", "board", F.posexplode("items").alias("rec_no", "text"))
-    return rows.withColumn("r", F.from_json("text", schema))
+def _records(payloads: DataFrame, items: Column, schema: str, problem: Column | None = None) -> DataFrame:
+    """One row for each record; a payload without the expected list is one row with its ``problem``."""
+    wrong = F.when(items.isNull(), "unexpected record list")
+    rows = payloads.withColumn("problem", F.coalesce(problem, wrong) if problem is not None else wrong)
+    listed = F.when(F.col("problem").isNull(), items).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.select("source", "board", "problem", F.posexplode(listed).alias("rec_no", "text"))
+    return rows.withColumn("rec_no", F.when(F.col("problem").isNull(), F.col("rec_no"))).withColumn("r", F.from_json("text", schema))
 
 
 def _object_items(key: str) -> Column:
@@ -66,7 +74,8 @@ def posting_row(rows: DataFrame, *, title, company, location, url, job_id, descr
     """Common constructor; records without title, company or a safe link are kept as rejects."""
     null = F.lit(None).cast("string")
     title, company, url = clean_text(title), clean_text(company), clean_text(url)
-    reject = (F.when(F.col("r").isNull(), "unreadable")
+    problem = F.col("problem") if "problem" in rows.columns else null
+    reject = (F.when(problem.isNotNull(), problem).when(F.col("r").isNull(), "unreadable")
               .when(F.coalesce(skipped, F.lit(False)) if skipped is not None else F.lit(False), "closed")
               .when(title.isNull(), "no title").when(company.isNull(), "no company").when(url.isNull(), "no link")
               .when(~is_web_url(url), "unsafe link"))
@@ -138,11 +147,10 @@ def envelope_problem(payload: Column) -> Column:
 
 
 def freehire(payloads: DataFrame) -> DataFrame:
-    """Records of usable envelopes; closed ones are rejects."""
-    usable = payloads.where(envelope_problem(F.col("payload")).isNull())
-    rows = _records(usable, _object_items("data"), (
+    """Records of usable envelopes; closed ones and unusable envelopes are rejects."""
+    rows = _records(payloads, _object_items("data"), (
         "title string, company string, location string, url string, public_slug string, description string, posted_at string, closed_at string, "
-        "work_mode string, employment_type string, enrichment struct<employment_type:string>"))
+        "work_mode string, employment_type string, enrichment struct<employment_type:string>"), envelope_problem(F.col("payload")))
     return posting_row(rows, title=F.col("r.title"), company=F.col("r.company"), location=F.col("r.location"), url=F.col("r.url"),
                        job_id=F.col("r.public_slug"), description=F.col("r.description"), posted_at=F.col("r.posted_at"),
                        employment=employment_type(_filled(F.col("r.employment_type"), F.col("r.enrichment.employment_type"))),
@@ -172,12 +180,18 @@ def rejected(rows: DataFrame) -> DataFrame:
 
 
 def accounting(rows: DataFrame, date_filter: bool = False) -> DataFrame:
-    """Kept, skipped and undated records per (source, board), with the warnings they cause and the status."""
-    bad = F.col("reject").isNotNull()
-    undated = ~bad & posted_time(F.col("posted_at")).isNull() if date_filter else F.lit(False)
-    counts = rows.groupBy("source", "board").agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("skipped"), F.count_if(undated).alias("undated"))
+    """Kept, skipped and undated records per (source, board), with the warnings they cause and the status.
+
+    A board none of whose payloads could be read is an ``error``, named by ``error``; with some unread ones it is ``partial``.
+    """
+    unread = F.coalesce(F.col("reject").isin(PAYLOAD_PROBLEMS), F.lit(False))
+    bad = F.col("reject").isNotNull() & ~unread
+    undated = F.col("reject").isNull() & posted_time(F.col("posted_at")).isNull() if date_filter else F.lit(False)
+    counts = rows.groupBy("source", "board").agg(F.count_if(F.col("reject").isNull()).alias("kept"), F.count_if(bad).alias("skipped"), F.count_if(undated).alias("undated"),
+                                                F.count_if(unread).alias("unread"), F.min(F.when(unread, F.col("reject"))).alias("error"), F.count_if(~unread).alias("read"))
     warnings = F.array_compact(F.array(
         F.when(F.col("skipped") > 0, F.concat(F.lit("Skipped "), "skipped", F.lit(" incomplete or invalid listings."))),
         F.when(F.col("undated") > 0, F.concat(F.lit("Excluded "), "undated", F.lit(
             " listings without a publication date. Choose Any time to include them.")))))
-    return counts.select("*", warnings.alias("warnings"), F.when(F.size(warnings) > 0, "partial").otherwise("ok").alias("status"))
+    status = F.when((F.col("unread") > 0) & (F.col("read") == 0), "error").when((F.size(warnings) > 0) | (F.col("unread") > 0), "partial").otherwise("ok")
+    return counts.select("*", warnings.alias("warnings"), status.alias("status")).drop("read")

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from fitweave.streaming.versions import last_version, merge_version
+
+_KEY = ["source", "job_id"]
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    """(source, job_id, newest, pasted): latest snapshot and latest pasted description of each posting."""
+    fields = [c for c in rows.columns if c not in _KEY]
+    at = F.struct("fetched_at", "seq")
+    pasted = F.max_by(F.struct("description", "fetched_at", "seq"), F.when(F.col("description_source") == "pasted", at))
+    return rows.groupBy(*_KEY).agg(F.max_by(F.struct(*fields), at).alias("newest"), pasted.alias("pasted"))
+
+
+def _merged(states: DataFrame) -> DataFrame:
+    def latest(column: str) -> Column:
+        at = F.when(F.col(column).isNotNull(), F.struct(f"{column}.fetched_at", f"{column}.seq"))
+        return F.max_by(column, at).alias(column)
+    return states.groupBy(*_KEY).agg(latest("newest"), latest("pasted"))
+
+
+def _shown(state: DataFrame) -> DataFrame:
+    fields = [f.name for f in state.schema["newest"].dataType.fields if f.name not in ("description", "description_source")]
+    has = F.col("pasted").isNotNull()
+    return state.select(*_KEY, *[F.col(f"newest.{c}").alias(c) for c in fields],
+                        F.when(has, F.col("pasted.description")).otherwise(F.col("newest.description")).alias("description"),
+                        F.when(has, "pasted").otherwise(F.col("newest.description_source")).alias("description_source"))
+
 
 def latest_versions(rows: DataFrame) -> DataFrame:
     """One row per (source, job_id): the latest snapshot; a pasted description survives later snapshots.
 
     ``rows`` (source, job_id, fetched_at, seq, description_source, ...). Partial aggregation keeps hot postings cheap.
     """
-    fields = [c for c in rows.columns if c not in ("source", "job_id")]
-    newest = F.max_by(F.struct(*fields), F.struct("fetched_at", "seq")).alias("newest")
-    pasted = F.max_by(F.struct("description"), F.when(F.col("description_source") == "pasted", F.struct("fetched_at", "seq"))).alias("pasted")
-    merged = rows.groupBy("source", "job_id").agg(newest, pasted, F.max((F.col("description_source") == "pasted").cast("int")).alias("has_pasted"))
-    kept = [F.col(f"newest.{c}").alias(c) for c in fields if c not in ("description", "description_source")]
-    has = F.col("has_pasted") == 1
-    return merged.select("source", "job_id", *kept,
-                         F.when(has, F.col("pasted.description")).otherwise(F.col("newest.description")).alias("description"),
-                         F.when(has, "pasted").otherwise(F.col("newest.description_source")).alias("description_source"))
-
-
-def start_posting_feed(snapshots: DataFrame, table_dir: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
-    """Drop repeated snapshot rows within the watermark and append the rest, one folder per batch.
-
-    Unchanged rows of repeated snapshots (same source, job_id, content_hash) are
-    dropped as state; replayed batches overwrite their own folder.
-    """
-    fresh = snapshots.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["source", "job_id", "content_hash"])
+    return _shown(_state(rows))
 
+
+def start_posting_feed(snapshots: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
+    """Merge each micro-batch into the catalogue.
+
+    A batch is reduced to one row per posting, then merged with the version before
+    it by fetch time, so a text that returns to an earlier wording wins again,
+    and a late snapshot of any age finds its place without a watermark.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_dir}/batch={batch_id}")
-    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        incoming = _state(batch)
+        merge_version(batch_id, batch.sparkSession, table_dir, lambda before: incoming if before is None else _merged(before.unionByName(incoming)))
+    return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def catalogue(spark: SparkSession, table_dir: str) -> DataFrame:
-    return latest_versions(spark.read.parquet(table_dir).drop("batch"))
+    return _shown(last_version(spark, table_dir))

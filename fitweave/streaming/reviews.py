@@ -6,30 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from fitweave.operators.schedule import review_state
+from fitweave.operators.schedule import review_day, review_state
+from fitweave.streaming.versions import last_version, merge_version
 
-DAYS = "profile_id {0}, skill_id string, day date, ts timestamp, event_id bigint, rating string"
+_KEY = ["profile_id", "skill_id"]
 
 
-def _last_per_day(events: DataFrame) -> DataFrame:
+def _last_per_day(events: DataFrame, zone: str) -> DataFrame:
     last = F.max(F.struct("ts", "event_id", "rating")).alias("last")
-    return events.groupBy("profile_id", "skill_id", F.to_date("ts").alias("day")).agg(last).select(
-        "profile_id", "skill_id", "day", "last.*")
+    return events.groupBy(*_KEY, review_day(F.col("ts"), zone).alias("day")).agg(last).select(*_KEY, "day", "last.*")
 
 
-def start_review_stream(events: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch, reduced to the last rating per key and day, to ``table_dir``.
+def start_review_stream(events: DataFrame, table_dir: str, checkpoint: str, zone: str = "UTC") -> StreamingQuery:
+    """Fold each micro-batch onto the stored schedule state.
 
-    A batch writes its own folder and overwrites it when replayed, so restarts
-    neither lose nor double events. Late events need no watermark: they join
-    their day, because the schedule is computed from days (see current_state).
+    The batch, reduced to the last rating per key and day, is kept under
+    ``table_dir/days``. Keys whose new days all come after their last review go on from
+    the stored interval; a key with a late or repeated day is computed again from its
+    own days. Other keys keep their row. Late events need no watermark.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        _last_per_day(batch).write.mode("overwrite").parquet(f"{table_dir}/batch={batch_id}")
+        spark = batch.sparkSession
+        _last_per_day(batch, zone).write.mode("overwrite").parquet(f"{table_dir}/days/batch={batch_id}")
+        new = spark.read.parquet(f"{table_dir}/days/batch={batch_id}")
+
+        def merge(before: DataFrame | None) -> DataFrame:
+            if before is None:
+                return review_state(new, zone=zone)
+            touched = new.groupBy(*_KEY).agg(F.min("day").alias("first_day")).join(before.select(*_KEY, "last_reviewed"), _KEY, "left")
+            again = touched.where(F.col("first_day") <= F.col("last_reviewed")).select(*_KEY)
+            later = new.join(again, _KEY, "left_anti")
+            days = spark.read.parquet(f"{table_dir}/days").where(F.col("batch") <= batch_id).drop("batch").join(again, _KEY, "left_semi")
+            onward = review_state(later, before.select(*_KEY, "interval_days"), zone=zone)
+            return before.join(touched.select(*_KEY), _KEY, "left_anti").unionByName(onward).unionByName(review_state(days, zone=zone))
+        merge_version(batch_id, spark, f"{table_dir}/states", merge)
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_state(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Schedule state from all day rows written so far."""
-    days = spark.read.parquet(table_dir).drop("batch")
-    return review_state(days.select("profile_id", "skill_id", "ts", "event_id", "rating"))
+    """The stored schedule state."""
+    return last_version(spark, f"{table_dir}/states")

@@ -278,9 +278,7 @@ both_gaps AS (SELECT letter_id, name, 0 AS part, ord FROM letters JOIN doc_tools
 gaps AS MATERIALIZED (SELECT letter_id, name, min((part, ord)) AS place FROM both_gaps WHERE (letter_id, name) NOT IN (SELECT (letter_id, name) FROM fact_tools) GROUP BY ALL)"""
 _CUT = """regexp_replace(regexp_replace(regexp_replace(letter, '([.!?])\\s+', '\\1' || chr(10), 'g'), '(?i)\\b(but|while)\\b', chr(10), 'g'),
    '(?i)[,;]\\s*((?:and\\s+)?(?:I|my|we)(?:[^\\p{L}\\p{N}_]|$))', chr(10) || '\\1', 'g')"""
-_LABELS = "letter_labels(name, label) AS (" + Q.rows(sorted({(name, label) for name, labels in {
-    "AWS": ["AWS", "Amazon Web Services"], "Azure": ["Azure", "Microsoft Azure"], "GCP": ["GCP", "Google Cloud", "Google Cloud Platform"],
-    "Kubernetes": ["Kubernetes", "K8s"], "EKS": ["EKS", "Amazon EKS"]}.items() for label in labels})) + ")"
+_LABELS = "letter_labels(name, label) AS (" + Q.rows(sorted({(labels[0], label) for labels in K.LETTER_SPELLINGS.values() for label in labels})) + ")"
 _CLAIMS = f"""{_LABELS}, sentences AS (SELECT letter_id, unnest(string_split_regex({_CUT}, '\\n+')) AS s FROM letters),
 open_sentences AS MATERIALIZED (SELECT letter_id, s FROM sentences WHERE NOT regexp_matches(s, {word(K.DENIAL_CUES)}) AND NOT regexp_matches(s, {word(K.OTHER_LANGUAGE_DENIALS)})
    AND NOT (regexp_matches(s, '(?i)\\b(?:your|the|this)\\s+(?:role|listing|team|position)\\b.*\\b(?:requires?|mentions?|uses?|asks?|needs?)\\b') AND NOT regexp_matches(s, {word('I|my|our|we')}))),

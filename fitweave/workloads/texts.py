@@ -92,7 +92,7 @@ def clean_pages(spark, sf_dir):
 
 def whole_documents(spark, sf_dir):
     rows = P.documents(pages(spark, sf_dir).withColumn("page_no", F.col("page_no") + 1))
-    return rows.select("doc_id", "segment", F.md5("text").alias("text"))
+    return rows.select("doc_id", F.md5("text").alias("text"))
 
 
 def hints(spark, sf_dir):
@@ -269,7 +269,7 @@ _PAGES = """pages0 AS (SELECT conv_id AS doc_id, turn AS page_no, CASE WHEN conv
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _MODEL = f"""SELECT c_custkey AS doc_id, c_name, c_mktsegment AS seg, {pick_sql(CITIES, 'c_custkey')} AS city, {pick_sql(COUNTRIES, 'c_custkey')} AS country FROM customer"""
 _GEO = ("country_names(k, name) AS (" + Q.rows(K.COUNTRY_NAMES.items()) + "), city_names(k, name) AS (" + Q.rows(
-    (c, country) for country, cities in K.COUNTRY_CITIES.items() for c in cities) + ")")
+    K.CITY_COUNTRY.items()) + ")")
 _PLACES = f"""{_GEO}, places AS (SELECT m.*, nullif(trim(city), '') AS c, coalesce(n.name, nullif(trim(country), ''), t.name) AS n
   FROM ({_MODEL}) m LEFT JOIN country_names n ON n.k = replace(lower(trim(country)), '.', '') LEFT JOIN city_names t ON t.k = lower(trim(city)))"""
 _HINTS = f"""hints AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}'), lambda x: x)) AS emails,
@@ -319,8 +319,8 @@ ORACLE = {
         SELECT p.doc_id, p.page_no, md5(CASE WHEN t.n < 2 THEN p.text ELSE {_STRIP.format("array_to_string(list_filter(p.ls, lambda x: NOT list_contains(coalesce(d.vs, []), "
           + _STRIP.format('x') + ")), chr(10))")} END) AS text FROM filled p JOIN totals t USING (doc_id)
         LEFT JOIN (SELECT doc_id, list(DISTINCT v) AS vs FROM drops GROUP BY doc_id) d USING (doc_id)""",
-    "c3_page_markers": f"""WITH {_PAGES} SELECT doc_id, CAST(page_no // 200 AS INTEGER) AS segment, md5(string_agg(regexp_replace('--- page ' || (page_no + 1) || ' ---' || chr(10) || text, '\\s+$', ''),
-          chr(10) || chr(10) ORDER BY page_no)) AS text FROM pages0 GROUP BY doc_id, page_no // 200""",
+    "c3_page_markers": f"""WITH {_PAGES} SELECT doc_id, md5(string_agg(regexp_replace('--- page ' || (page_no + 1) || ' ---' || chr(10) || text, '\\s+$', ''),
+          chr(10) || chr(10) ORDER BY page_no)) AS text FROM pages0 GROUP BY doc_id""",
     "c5_c6_identifiers": f"""WITH {SKILL_DOCUMENTS}, {_HINTS} SELECT doc_id, {_ordered_distinct('emails', 'x')} AS emails,
         {_ordered_distinct('users', "'https://github.com/' || x", 'lower(x) NOT IN ' + Q.in_list(K.GITHUB_RESERVED))} AS github,
         {_ordered_distinct('slugs', "'https://www.linkedin.com/in/' || x")} AS linkedin,

@@ -45,7 +45,7 @@ def main(sf_dir, wanted):
     import __spark_entry__ as entry
     from fitweave.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("COMPARE_CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracle = entry.oracle_sql()

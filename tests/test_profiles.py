@@ -83,3 +83,10 @@ def test_translation_memory(spark):
     assert rows[2].is_translated and rows[2].translated_text == ENGLISH and rows[2].source_language == "nl"
     assert not rows[3].is_translated and rows[3].n_missing == 1
     assert L.work_list(texts, known).count() == 1
+
+
+def test_a_long_document_is_one_row(spark):
+    pages = spark.range(1, 402).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("page_no"), F.concat(F.lit("page "), "id", F.lit(" mail me@site.example")).alias("text"))
+    rows = P.documents(pages).collect()
+    assert len(rows) == 1 and rows[0].text.count("--- page ") == 401 and rows[0].text.endswith("page 401 mail me@site.example")
+    assert P.identifiers(P.documents(pages)).first().emails == ["me@site.example"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fitweave.operators import schedule as T
 from fitweave.session import step_folder
-from fitweave.streaming import reviews
+from fitweave.streaming import feed, reviews
 
 SCHEMA = "profile_id int, skill_id string, ts timestamp, event_id long, rating string"
 
@@ -51,8 +51,47 @@ def test_stream_equals_batch_with_late_files(spark):
     for part in (rows[1::2], rows[0::2]):  # the second arrival holds events older than the first
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
-        reviews.start_review_stream(stream, f"{folder}/days", f"{folder}/checkpoint").awaitTermination()
-    assert state(reviews.current_state(spark, f"{folder}/days")) == state(T.review_state(spark.createDataFrame(rows, SCHEMA)))
+        reviews.start_review_stream(stream, f"{folder}/reviews", f"{folder}/checkpoint").awaitTermination()
+    assert state(reviews.current_state(spark, f"{folder}/reviews")) == state(T.review_state(spark.createDataFrame(rows, SCHEMA)))
+
+
+def test_stream_goes_on_from_stored_state(spark):
+    """Later days, a repeat on the last day, a late day and a new key, one micro-batch each."""
+    at = lambda day, hour: dt.datetime(2024, 3, day, hour)
+    batches = [[(1, "a", at(1, 9), 1, "independent"), (2, "a", at(1, 9), 2, "independent")], [(1, "a", at(9, 9), 3, "independent")], [(1, "a", at(9, 18), 4, "effort")],
+               [(2, "a", at(20, 8), 5, "independent"), (3, "b", at(2, 2), 6, "again")], [(2, "a", at(8, 8), 7, "independent")]]
+    folder = f"{step_folder(spark)}/stream-test-{uuid.uuid4().hex}"
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+        reviews.start_review_stream(stream, f"{folder}/reviews", f"{folder}/checkpoint").awaitTermination()
+        seen = [r for b in batches[: n + 1] for r in b]
+        assert state(reviews.current_state(spark, f"{folder}/reviews")) == state(T.review_state(spark.createDataFrame(seen, SCHEMA)))
+
+
+def test_days_do_not_depend_on_the_session_zone(spark):
+    rows = spark.sql("select 1 profile_id, 'a' skill_id, timestamp'2024-03-01 03:00:00+00:00' ts, 1L event_id, 'again' rating")
+    got = []
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got += [str(T.review_days(rows).first().day), str(T.review_days(rows, zone="America/New_York").first().day)]
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2024-03-01", "2024-02-29"] * 2
+
+
+def test_feed_equals_batch_with_a_reverted_text_and_late_rows(spark):
+    schema = "source string, job_id string, fetched_at timestamp, seq long, description string, description_source string, content_hash string"
+    day = lambda d: dt.datetime(2024, 5, d)
+    batches = [[("s", "1", day(1), 0, "A", "source", "a"), ("s", "2", day(1), 0, "own", "pasted", "p")], [("s", "1", day(2), 1, "B", "source", "b"), ("s", "2", day(3), 1, "board", "source", "q")],
+               [("s", "1", day(30), 2, "A", "source", "a")], [("s", "1", day(5), 3, "late", "source", "l"), ("s", "2", day(2), 4, "older paste", "pasted", "o")]]
+    folder = f"{step_folder(spark)}/feed-test-{uuid.uuid4().hex}"
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        feed.start_posting_feed(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        whole = feed.latest_versions(spark.createDataFrame([r for b in batches[: n + 1] for r in b], schema))
+        assert sorted(map(tuple, feed.catalogue(spark, f"{folder}/table").select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    final = {r.job_id: (r.description, r.seq) for r in feed.catalogue(spark, f"{folder}/table").collect()}
+    assert final == {"1": ("A", 2), "2": ("older paste", 1)}
 
 
 def test_due_queue(spark):
