@@ -65,7 +65,7 @@ def lever_rows(spark, sf_dir) -> DataFrame:
     record = F.struct(
         F.concat(F.lit("Role "), d).alias("text"), d.alias("id"), F.when(d % 11 > 0, F.concat(F.lit("https://jobs.example.com/"), d)).alias("hostedUrl"),
         F.when(d % 22 > 0, F.concat(F.lit("https://apply.example.com/"), d)).alias("applyUrl"), F.when(d % 4 > 0, F.lit(1700000000000) + d * 86400500).alias("createdAt"),
-        pick(["Remote", "On-site", "hybrid", "moon"], d).alias("workplaceType"), F.when(d % 2 == 0, F.lit("Plain body")).alias("descriptionPlain"), F.lit("<b>Html</b> body").alias("description"),
+        pick(["Remote", "On-site", "hybrid", "moon"], d).alias("workplaceType"), F.when(d % 2 == 0, _escape(F.col("text"))).alias("descriptionPlain"), F.concat(F.lit("<b>"), _escape(F.col("text")), F.lit("</b> body")).alias("description"),
         F.when(d % 3 == 0, F.array(F.struct(F.lit("Needs").alias("text"), F.lit("<li>One</li><li>Two &amp; more</li>").alias("content")))).alias("lists"), F.lit("End").alias("additional"),
         F.struct(F.when(d % 2 == 0, F.array(pick(PLACES, d), F.lit("Rome"))).alias("allLocations"), F.lit("Oslo").alias("location"), pick(["Full-time", "Part time", "Intern", "Gig"], d).alias("commitment")).alias("categories"))
     return B.lever(_payloads(spark, sf_dir, "lever", record, F.to_json), companies(spark, sf_dir))
@@ -76,7 +76,7 @@ def ashby_rows(spark, sf_dir) -> DataFrame:
     record = F.struct(
         F.concat(F.lit("Role "), d).alias("title"), F.when(d % 2 == 0, F.concat(F.lit("https://jobs.example.com/"), d)).alias("jobUrl"), F.concat(F.lit("https://user@apply.example.com/"), d).alias("applyUrl"),
         F.lit("Oslo").alias("location"), F.when(d % 3 == 0, F.array(F.struct(F.lit("Bergen").alias("location")))).alias("secondaryLocations"), pick(["", "Hybrid", "OnSite"], d).alias("workplaceType"),
-        (d % 2 == 0).alias("isRemote"), F.when(d % 7 == 0, F.lit(False)).alias("isListed"), F.lit("FullTime").alias("employmentType"), F.lit("<p>A</p><p>B</p>").alias("descriptionHtml"), F.lit("2024-01-02").alias("publishedAt"))
+        (d % 2 == 0).alias("isRemote"), F.when(d % 7 == 0, F.lit(False)).alias("isListed"), F.lit("FullTime").alias("employmentType"), F.concat(F.lit("<p>A</p><p>"), _escape(F.col("text")), F.lit("</p>")).alias("descriptionHtml"), F.lit("2024-01-02").alias("publishedAt"))
     return B.ashby(_payloads(spark, sf_dir, "ashby", record, lambda r: F.to_json(F.struct(r.alias("jobs")))), companies(spark, sf_dir))
 
 
@@ -84,7 +84,7 @@ def freehire_payloads(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
     record = F.struct(
         F.concat(F.lit("Role "), d).alias("title"), F.col("source").alias("company"), pick(PLACES, d).alias("location"), F.concat(F.lit("https://jobs.example.com/"), d).alias("url"),
-        F.concat(F.lit("s"), d).alias("public_slug"), F.lit("Text").alias("description"), F.lit("2024-01-02").alias("posted_at"), F.when(d % 6 == 0, F.lit("2024-01-20")).alias("closed_at"),
+        F.concat(F.lit("s"), d).alias("public_slug"), _escape(F.col("text")).alias("description"), F.lit("2024-01-02").alias("posted_at"), F.when(d % 6 == 0, F.lit("2024-01-20")).alias("closed_at"),
         F.lit("onsite").alias("work_mode"), F.when(d % 2 == 0, F.lit("contract")).alias("employment_type"), F.struct(F.lit("volunteer").alias("employment_type")).alias("enrichment"))
     rows = _payloads(spark, sf_dir, "freehire", record, lambda r: F.to_json(F.struct(r.alias("data"))))
     part = F.substring_index("board", "-", -1).cast("int")

@@ -152,10 +152,10 @@ def _observations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     bench = table(spark, sf_dir, "benchmark")
     answers = docs.select(F.col("doc_id").alias("answer_id"), F.col("text").alias("answer"),
                           F.array(F.lit("c0"), F.lit("c1"), F.lit("c2"), F.lit("c3")).alias("criteria"))
-    # benchmark passages quoted for every document of the same residue, and pieces of the document itself
-    passages = bench.select(F.col("item_id").alias("slot"), F.left("text", F.lit(60)).alias("passage"))
+    # whole benchmark passages, every one of them quoted for the documents of its residue, and pieces of the document itself
+    passages = bench.select(F.col("item_id").alias("slot"), F.col("text").alias("passage"))
     rows = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("ord")).withColumn(
-        "slot", F.pmod(F.col("doc_id") + F.col("ord"), F.lit(40))).join(passages, "slot", "left")
+        "slot", F.pmod(F.col("doc_id") + F.col("ord"), F.lit(bench.count()))).join(passages, "slot", "left")
     own = F.substring(F.col("text"), F.col("ord") * 7 + 1, F.when(F.col("ord") == 3, 260).otherwise(40))
     evidence = F.when(F.col("ord") % 3 == 0, own).when(F.col("ord") % 3 == 1, F.col("passage")).otherwise("")
     status = pick(["demonstrated", "partial", "not_yet", "great"], F.col("doc_id") + F.col("ord"))
@@ -329,10 +329,10 @@ _FEED = """WITH s AS (SELECT source, CAST(doc_id // 2 AS VARCHAR) AS job_id, doc
    CASE WHEN bool_or(pasted) THEN 'pasted' ELSE 'source' END AS description_source FROM s GROUP BY source, job_id"""
 _MATERIAL = "material(title, url, always, pos, keyword, pattern) AS (" + Q.rows(
     (t, u, a, i, k, "(^|[^a-z0-9_])" + Q.escape(k) + "([^a-z0-9_]|$)") for t, u, ks, a in MATERIALS for i, k in enumerate(ks)) + ")"
-_FEEDBACK = f"""bench AS (SELECT item_id, substr(text, 1, 60) AS passage FROM benchmark), obs AS (SELECT doc_id, text, ord, CAST((ord * 3 + doc_id) % 6 - 1 AS INTEGER) AS idx,
+_FEEDBACK = f"""bench AS (SELECT item_id, text AS passage FROM benchmark), obs AS (SELECT doc_id, text, ord, CAST((ord * 3 + doc_id) % 6 - 1 AS INTEGER) AS idx,
    {pick_sql(['demonstrated', 'partial', 'not_yet', 'great'], '(doc_id + ord)')} AS status, CASE ord % 3 WHEN 0 THEN substr(text, CAST(ord * 7 + 1 AS INTEGER), CASE WHEN ord = 3 THEN 260 ELSE 40 END)
    WHEN 1 THEN passage ELSE '' END AS ev, CASE WHEN ord = 6 THEN ' ' ELSE 'Good' END AS comment
-   FROM documents CROSS JOIN range(8) r(ord) LEFT JOIN bench ON item_id = (doc_id + ord) % 40),
+   FROM documents CROSS JOIN range(8) r(ord) LEFT JOIN bench ON item_id = (doc_id + ord) % (SELECT count(*) FROM benchmark)),
 valid AS (SELECT *, regexp_replace(coalesce(ev, ''), '^\\s+|\\s+$', '', 'g') AS q FROM obs WHERE idx BETWEEN 0 AND 3 AND status <> 'great' AND trim(comment) <> ''),
 kept AS (SELECT doc_id AS answer_id, idx AS criterion_index, arg_min(status, ord) AS status, arg_min(q, ord) AS q FROM valid
    WHERE length(q) <= 240 AND (q = '' OR contains(text, q)) AND (status = 'not_yet' OR q <> '') GROUP BY ALL)"""
