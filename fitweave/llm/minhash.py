@@ -168,11 +168,15 @@ def least_estimate(percent: int, bits: int = BITS, minima: int = MINIMA) -> floa
     return percent / 100 - 5 * (agree * (1 - agree) / minima) ** 0.5 / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, packed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; sketches decide which sets are fetched."""
+def _likely(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches may reach the threshold."""
     near = pairs.join(packed.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(packed.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    near = near.where(estimated_similarity(F.col("sketch_a"), F.col("sketch_b")) >= least_estimate(percent)).select("a", "b")
-    whole = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return near.where(estimated_similarity(F.col("sketch_a"), F.col("sketch_b")) >= least_estimate(percent)).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
+    whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return whole.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
@@ -224,10 +228,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = stored(shingle_sets(texts), "sets")
 
     pairs = stored(live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = links.union(stored(_confirmed(pairs, packed, sets, percent), "edges"))
+    links = links.union(stored(_confirmed(_likely(pairs, packed, percent), sets, percent), "edges"))
     labels = stored(components(links), "labels")
     live = live.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    more = stored(_confirmed(stored(_pairs_across(live, sets, percent), "pairs"), packed, sets, percent), "edges")
+    more = stored(_confirmed(stored(_pairs_across(live, sets, percent), "pairs"), sets, percent), "edges")
     if not more.isEmpty():
         links = links.union(more)
         labels = stored(components(links), "labels")
