@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,38 @@ def step_folder(spark: SparkSession) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a shared folder before running on a cluster.")
         folder = tempfile.mkdtemp(prefix="fitweave-steps-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
+    if "://" not in folder and not spark.sparkContext.master.startswith("local"):
+        shared = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if shared.startswith("file:"):
+            raise RuntimeError(f"spark.checkpoint.dir is {folder}, a folder of one machine; name it with the scheme of a shared file system.")
     return folder
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def owned_steps(spark: SparkSession) -> Iterator[None]:
+    """Delete the steps written inside the block when it ends; write or collect results before that."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for path in _owners.pop():
+            delete(spark, path)
+
+
+def own(path: str) -> None:
+    """Leave a step to the innermost ``owned_steps`` block, if there is one."""
+    if _owners:
+        _owners[-1].append(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back.
 
@@ -43,5 +74,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     and the planner knows the real size of what follows.
     """
     path = f"{step_folder(df.sparkSession)}/fitweave-{uuid.uuid4().hex}"
+    own(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

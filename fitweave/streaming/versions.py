@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitweave.session import delete
+
 
 def merge_version(batch_id: int, spark: SparkSession, table_dir: str, merge: Callable[[DataFrame | None], DataFrame]) -> None:
     """Write version ``batch_id`` as ``merge`` of the version before it (None for the first)."""
     before = spark.read.parquet(f"{table_dir}/version={batch_id - 1}") if batch_id else None
     merge(before).write.mode("overwrite").parquet(f"{table_dir}/version={batch_id}")
     if batch_id > 1:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/version={batch_id - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        delete(spark, f"{table_dir}/version={batch_id - 2}")
 
 
 def last_version(spark: SparkSession, table_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from fitweave.operators import schedule as T
 from fitweave.operators import skills as S
 from fitweave.plans import learning as P
 from fitweave.plans.materials import MATERIALS, materials
-from fitweave.session import step_folder
+from fitweave.session import own, step_folder
 from fitweave.streaming import feed, reviews
 from fitweave.workloads import skills as WS
 from fitweave.workloads import sql as Q
@@ -200,8 +202,9 @@ def schedule_state(spark, sf_dir):
 
 
 def _run_folder(spark, name):
-    import uuid
-    return f"{step_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{step_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    own(folder)
+    return folder
 
 
 def schedule_stream(spark, sf_dir):
