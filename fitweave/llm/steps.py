@@ -7,16 +7,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitweave.session import step_folder
+from fitweave.session import delete, own, step_folder
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{step_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    path = f"{step_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    own(path)
+    return path
 
 
-def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a step and read it back; lineage ends here and its shuffle files go at once.
 
     The table survives lost executors, so nothing before it is needed again.
@@ -36,8 +38,7 @@ def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete stored steps that no later step reads."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table.stored_at)
 
 
 def crc_fold(doc_id: str, modulus: int) -> Column:
