@@ -67,8 +67,11 @@ def quoted(label: Column) -> Column:
 def distinct_ignoring_case(values: Column, limit: int | None = None) -> Column:
     """Trimmed non-blank values, first spelling of each kept, in order."""
     clean = F.filter(F.transform(values, lambda v: strip(v)), lambda v: v != "")
-    kept = let(clean, lambda words: let(F.transform(words, F.lower), lambda keys: F.filter(
-        words, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1)))
+    def first_spellings(words: Column) -> Column:
+        ranked = F.sort_array(F.transform(words, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"))))
+        firsts = let(ranked, lambda r: F.filter(r, lambda x, j: ~F.get(r, j - 1)["k"].eqNullSafe(x["k"])))
+        return F.transform(F.sort_array(F.transform(firsts, lambda x: x["i"])), lambda i: F.get(words, i))
+    kept = let(clean, first_spellings)
     return F.slice(kept, 1, limit) if limit else kept
 
 

@@ -441,13 +441,13 @@ def d8(spark, sf_dir):
 
 
 def d9(spark, sf_dir):
-    """Whole texts: words are grouped per document; short lists use the column form."""
+    """Whole texts in both forms: words grouped per document, and the column form."""
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
     words = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(flat, " ")).alias("i", "w")).withColumn("w", F.trim("w")).where("w <> ''")
     first = words.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min(F.struct("i", "w")).alias("f"))
     every = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fs")).select(
         "doc_id", F.md5(F.array_join(F.transform("fs", lambda f: f["w"]), "|")).alias("words"))
-    short = docs(spark, sf_dir).select("doc_id", F.array_join(distinct_ignoring_case(F.slice(F.split(flat, " "), 1, 30), 8), "|").alias("first"))
+    short = docs(spark, sf_dir).select("doc_id", F.array_join(distinct_ignoring_case(F.split(flat, " "), 8), "|").alias("first"))
     return every.join(short, "doc_id")
 
 
