@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitweave.functions.constants import NULL_WORDS
 from fitweave.functions.text import squeeze, strip
 
-# Named entities resolved without Python ("&amp;" is always last).
-_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
-             "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€",
-             "pound": "£", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß"}
-
-
 def clean_text(value: Column) -> Column:
     """Trimmed text; blanks and null-like words become null."""
     text = strip(value.cast("string"))
     return F.when((text != "") & ~F.lower(text).isin(NULL_WORDS), text)
 
 
+def _named() -> Column:
+    """Names of the standard's entities -> characters, as one folded constant."""
+    return F.from_json(F.lit(json.dumps({name[:-1]: value for name, value in html5.items() if name.endswith(";")})), "map<string,string>")
+
+
 def unescape(text: Column) -> Column:
-    """Common named entities and numeric ones, inside the JVM."""
-    for name, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    """Named and numeric character references in one pass over the text; unknown names stay."""
     def character(digits: Column) -> Column:
         return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
 
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{2,6}|[xX][0-9A-Fa-f]{2,5});"), F.lit(1)))
-    text = F.aggregate(codes, text, lambda acc, code: F.replace(
-        acc, F.concat(F.lit("&#"), code, F.lit(";")),
-        F.when(code.rlike("^[xX]"), character(F.substring(code, 2, 6))).otherwise(character(F.hex(code.try_cast("long"))))))
+    def meaning(entity: Column) -> Column:
+        code = F.substring(entity, 2, 8)
+        return F.when(entity.rlike("^#[xX]"), character(F.substring(entity, 3, 6))).when(
+            F.startswith(entity, F.lit("#")), character(F.hex(code.try_cast("long")))).otherwise(F.element_at(_named(), entity))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    others = F.filter(found, lambda e: e != "amp")  # "&amp;" is last, so that what it spells stays spelled
+    text = F.aggregate(others, text, lambda acc, e: F.coalesce(F.replace(acc, F.concat(F.lit("&"), e, F.lit(";")), meaning(e)), acc))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
