@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from fitweave.llm.bytesops import LOWER, Spans, mixed, pieces, raw, runs, table
 from fitweave.llm.steps import crc_fold, drop, stored
 
-SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 24 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
 SLOTS, DIM, PASSAGE = 1 << 18, 8, 32
 GRAMS = (3, 4, 5)
 #: Empty words added to a passage's mean, so that one odd word decides no short text.
@@ -101,23 +101,23 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0
     embed = random.normal(0, 0.02, (SLOTS, DIM)).astype(np.float32)
     weight, bias = random.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     squares, weight_squares, bias_squares = np.full(SLOTS, 1e-4, dtype=np.float32), 1e-4, 1e-4
-    # distinct words of the sample: bags of slots
+    # distinct words of the sample by number; their slots lie one after another in flat
     known: dict[int, int] = {}
-    bags: list[np.ndarray] = []
-    sequences: list[np.ndarray] = []
+    flat_parts, size_parts, sequences = [], [], []
     for low in range(0, len(texts), 256):
         starts, ends, hashes, bounds, spans = _words(pa.array(texts[low : low + 256], pa.large_string()))
         hashes, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         slots, counts = _word_slots(starts[first], ends[first], spans)
-        split = np.split(slots, np.cumsum(counts)[:-1]) if len(counts) else []
-        names = np.empty(len(hashes), dtype=np.int64)
-        for i, h in enumerate(hashes.tolist()):
-            names[i] = known.setdefault(h, len(known))
-            if names[i] == len(bags):
-                bags.append(split[i])
+        before = len(known)
+        names = np.array([known.setdefault(h, len(known)) for h in hashes.tolist()], dtype=np.int32)
+        new = names >= before
+        flat_parts.append(slots[np.repeat(new, counts)].astype(np.int32))
+        size_parts.append(counts[new].astype(np.int32))
         sequences += [names[back[a:b]] for a, b in zip(bounds[:-1], bounds[1:])]
-    flat = np.concatenate(bags) if bags else np.zeros(0, dtype=np.int64)
-    sizes = np.array([len(b) for b in bags])
+    del known
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *flat_parts])
+    sizes = np.concatenate([np.zeros(0, dtype=np.int32), *size_parts])
+    del flat_parts, size_parts
     firsts = np.cumsum(sizes) - sizes
     weights = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     for epoch in range(epochs):
@@ -134,7 +134,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 0
                 sums = np.concatenate([[0], np.cumsum(logits[words])])
                 place = places[np.argmax(sums[np.minimum(places + PASSAGE, len(words))] - sums[places])]
                 words = words[place : place + PASSAGE]
-            bag = np.concatenate([bags[w] for w in words])
+            bag = np.concatenate([flat[firsts[w] : firsts[w] + sizes[w]] for w in words])
             share = np.repeat(1 / (sizes[words] * (len(words) + SHRINK)), sizes[words]).astype(np.float32)
             mean = share @ embed[bag]
             z = mean @ weight + bias
@@ -179,9 +179,11 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
             spent[row.toxic] += row["size"]
             chosen.append(row.doc_id)
     wanted = documents.sparkSession.createDataFrame([(i,) for i in chosen], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}")
-    sample = rows.join(F.broadcast(wanted), "doc_id").orderBy(*order).select("text", "toxic").toPandas()
+    sample = rows.join(F.broadcast(wanted), "doc_id").orderBy(*order).select("text", "toxic").collect()
     drop(rows)
-    return train([t or "" for t in sample.text], sample.toxic.to_numpy())
+    texts, toxic = [r.text or "" for r in sample], np.array([r.toxic for r in sample])
+    del sample
+    return train(texts, toxic)
 
 
 def toxicity(documents: DataFrame, model: Model) -> DataFrame:
