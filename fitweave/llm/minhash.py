@@ -37,7 +37,7 @@ from fitweave.llm.steps import drop, stored
 
 WIDTH, BANDS, ROWS, BITS, PERCENT = 5, 40, 5, 4, 75
 #: Sketches in one list that members of a mixed bucket meet; there are as many lists as it takes.
-LISTED = 256
+LISTED = 128
 MINIMA = BANDS * ROWS
 #: Minima of the long sketch, one bit each, that members of mixed buckets get for a sharper test.
 LONG_MINIMA = 2048
@@ -181,28 +181,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
-def _pairs_across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _pairs_across(live: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share a bucket and may reach the threshold by their long sketches.
 
-    live: (bucket, node, component). In each bucket with several components the
+    live: (band, bucket, node, component). In each bucket with several components the
     members outside its largest one are strangers; every member meets every
     stranger's sketch in place, in lists of about LISTED, and only pairs that may
-    reach the threshold become rows. A bucket of one component costs nothing.
+    reach the threshold become rows, each in the first bucket that both share. A
+    bucket of one component costs nothing.
     """
     parts = live.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     largest = F.max(F.struct("n", "component"))
     mixed_buckets = parts.groupBy("bucket").agg(largest.alias("most"), F.sum("n").alias("members")).where("most.n < members")
     mixed_buckets = stored(mixed_buckets.select("bucket", F.col("most.component").alias("main"), (F.col("members") - F.col("most.n")).alias("strangers")), "mixed")
     live = stored(live.join(mixed_buckets, "bucket"), "members")
-    sharp = stored(long_sketches(sets.join(live.select("node").distinct(), "node", "left_semi")), "long")
-    live = live.join(sharp, "node")
+    nodes = stored(live.select("node").distinct(), "nodes")
+    sharp = long_sketches(sets.join(nodes, "node", "left_semi")).join(classes.join(nodes, "node", "left_semi").select("node", "bands"), "node")
+    live = live.join(stored(sharp, "long"), "node")
     lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("strangers") / LISTED))
-    heads = live.where("component <> main").groupBy("bucket", lot.alias("lot")).agg(F.collect_list(F.struct("node", "component", "size", "long")).alias("heads"))
+    heads = live.where("component <> main").groupBy("bucket", lot.alias("lot")).agg(F.collect_list(F.struct("node", "component", "size", "long", "bands")).alias("heads"))
+    once = lambda h: (F.col("component") == F.col("main")) | (h["node"] < F.col("node"))  # noqa: E731  two strangers meet from either side
+    first = lambda h: F.array_position(F.zip_with(h["bands"], F.col("bands"), lambda x, y: x == y), True) == F.col("band") + 1
     near = F.filter(
         "heads",
-        lambda h: (h["component"] != F.col("component")) & (F.col("size") * 100 >= percent * h["size"]) & (h["size"] * 100 >= percent * F.col("size")) & (estimated_similarity(h["long"], F.col("long"), 1, LONG_MINIMA) >= least_estimate(percent, 1, LONG_MINIMA)),
+        lambda h: (h["component"] != F.col("component")) & once(h) & (F.col("size") * 100 >= percent * h["size"]) & (h["size"] * 100 >= percent * F.col("size")) & (estimated_similarity(h["long"], F.col("long"), 1, LONG_MINIMA) >= least_estimate(percent, 1, LONG_MINIMA)) & first(h),
     )
-    met = live.select("bucket", "node", "component", "size", "long").join(heads, "bucket").select("node", F.explode(F.transform(near, lambda h: h["node"])).alias("head"))
+    met = live.select("band", "bucket", "node", "component", "main", "size", "long", "bands").join(heads, "bucket").select("node", F.explode(F.transform(near, lambda h: h["node"])).alias("head"))
     return met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
 
 
@@ -220,9 +224,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     links = stored(named.join(same_id, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "edges")
 
-    members = classes.select("node", F.explode("bands").alias("bucket"))
+    members = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("bucket", "first")
-    live = stored(members.join(stored(shared, "shared"), "bucket").select("bucket", "node", "first"), "buckets")
+    live = stored(members.join(stored(shared, "shared"), "bucket").select("band", "bucket", "node", "first"), "buckets")
     packed = stored(classes.join(live.select("node").distinct(), "node", "left_semi").select("node", F.col("n_shingles").alias("size"), "sketch"), "packed")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(packed.select("node"), "node", "left_semi")
     sets = stored(shingle_sets(texts), "sets")
@@ -230,8 +234,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stored(live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = links.union(stored(_confirmed(_likely(pairs, packed, percent), sets, percent), "edges"))
     labels = stored(components(links), "labels")
-    live = live.join(labels.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    more = stored(_confirmed(stored(_pairs_across(live, sets, percent), "pairs"), sets, percent), "edges")
+    live = live.join(labels.withColumnRenamed("id", "node"), "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("component"))
+    more = stored(_confirmed(stored(_pairs_across(live, sets, classes, percent), "pairs"), sets, percent), "edges")
     if not more.isEmpty():
         links = links.union(more)
         labels = stored(components(links), "labels")

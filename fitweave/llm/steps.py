@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from fitweave.session import delete, own, step_folder
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a step is written: its shuffle files go with it, and Python workers get small batches of rows.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -24,12 +29,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The table survives lost executors, so nothing before it is needed again.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    path, before = fresh_path(spark, label), {name: spark.conf.get(name) for name in _WRITING}
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
