@@ -287,6 +287,13 @@ def _ordered_distinct(column: str, value: str, keep: str = "true") -> str:
             f"(SELECT unnest({column}) AS x, unnest(range(len({column}))) AS i) WHERE {keep} GROUP BY v)), '')")
 
 
+# The telephone pattern without look-around: letters beyond ASCII become "x", so a digit's edge to a word is \b and that of "+" or "(" is \B.
+_SEPARATED = "[\\s.\\-]?"
+_PHONE_SQL = (f"(?:\\B\\+\\d{{1,3}}{_SEPARATED}(?:\\(?\\d{{2,4}}\\)?{_SEPARATED})?|\\B\\(\\d{{2,4}}\\)?{_SEPARATED}|\\b\\d{{2,4}}\\)?{_SEPARATED}|\\b)"
+              f"\\d{{3,4}}{_SEPARATED}\\d{{3,4}}\\b")
+_PHONES = f"""phones AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(regexp_replace(text, '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}]', 'x', 'g'), '{_PHONE_SQL}'),
+  lambda p: length(regexp_replace(p, '\\D', '', 'g')) BETWEEN 8 AND 15), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))) AS ps FROM documents)"""
+
 _FIRST_EMAIL = "regexp_extract(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')"
 
 ORACLE = {
@@ -327,6 +334,7 @@ ORACLE = {
         array_to_string(list_filter(list_transform(list_zip(starts, ends), lambda p: CASE WHEN NOT regexp_matches(p[2], '^\\d+$') THEN p[1] || '-now'
           WHEN p[2] >= p[1] THEN p[1] || '-' || p[2] END), lambda x: x IS NOT NULL), '|') AS ranges,
         {_ordered_distinct('years', 'x', "x BETWEEN '1980' AND '2030'")} AS years, least(CAST(stated AS INTEGER), 60) AS stated FROM hints""",
+    "c5_phones": f"""WITH {_PHONES}, p AS (SELECT doc_id, {_ordered_distinct('ps', 'x')} AS phones FROM phones) SELECT doc_id, phones FROM p WHERE phones <> ''""",
     "c7_rules_profile": f"""WITH {SKILL_DOCUMENTS}, {_HINTS}, p AS (SELECT doc_id, nullif({_FIRST_EMAIL}, '') AS email,
           'https://github.com/' || list_filter(users, lambda u: lower(u) NOT IN {Q.in_list(K.GITHUB_RESERVED)})[1] AS github_url,
           'https://www.linkedin.com/in/' || slugs[1] AS linkedin_url, least(CAST(stated AS INTEGER), 60) AS years FROM hints)
