@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "tokens", "rules", "repeats", "toxicity", "mixing", "secrets", "quality", "decontaminate"]
+MODULES = ["minhash", "tokens", "revisits", "rules", "repeats", "toxicity", "mixing", "secrets", "quality", "decontaminate"]
 
 
 def collect(attribute: str) -> dict:
