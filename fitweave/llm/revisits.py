@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fitweave.functions.urls import canonical_url
 from fitweave.llm.steps import stored
+from fitweave.workloads.postings_sql import _LINKS as ORACLE_LINKS
 
 SPAN = 3600
 # Headers that a not-modified answer may update.
@@ -77,4 +78,16 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_revisits": op3_revisits}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_revisits": f"""
+with {ORACLE_LINKS}, kept as (select page_id, base, path, list_sort(list_filter(string_split(q, '&'), lambda p: regexp_matches(p, '^[^=]*=.') and not regexp_matches(lower(p), '^(utm_|trk=|trackingid=|refid=|position=|pagenum=)'))) ps from split),
+u as (select page_id, base || regexp_replace(path, '/+$', '') || case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end key from kept),
+c as (select page_id * 4 + i record_id, key, page_id * 7 + i * 2000 as tm, i, i = 0 or i = 2 and page_id % 3 = 0 as full_one,
+  case when i >= 2 and page_id % 3 = 0 then md5(coalesce(html, '')) || '-2' when i = 2 and page_id % 5 = 0 then 'other' else md5(coalesce(html, '')) end tag
+  from pages join u using (page_id) cross join range(4) r(i)),
+m as (select v.record_id, any_value(v.i) i, any_value(v.tag) tag, arg_max(o.record_id, (o.tm, o.record_id)) rid, arg_max(o.tag, (o.tm, o.record_id)) rtag, arg_max(o.i, (o.tm, o.record_id)) ri
+  from c v left join c o on o.key = v.key and o.tm < v.tm and o.full_one where not v.full_one group by v.record_id),
+j as (select *, case when rid is null then 'no response' when tag <> rtag then 'etag differs' else 'resolved' end outcome from m)
+select cast(record_id as bigint) record_id, outcome, cast(case when outcome = 'resolved' then rid end as bigint) response_id, case when outcome = 'resolved' then cast(i as varchar) end date,
+  case when outcome = 'resolved' then case when ri = 0 then 'text/html' else 'x' end end content_type from j"""
+}
