@@ -1,11 +1,11 @@
 """Secret scan: fixed patterns, and a randomness battery for what no pattern knows.
 
-Patterns give the base spans. Every other long run of key characters is read in
-the smallest encoding that has all its characters, and tested against "drawn
+Patterns give the base spans and are cut out of the runs of key characters. Every part
+of a run that is left and long enough is read in the smallest encoding that has all its characters, and tested against "drawn
 uniformly from that alphabet": chi-squared over alphabet classes, runs about the
 alphabet's middle, and serial correlation, combined by Fisher's method. Words,
 paths and names fail; keys do not. Which runs count as failed is decided per
-stratum (encoding and length) by Benjamini-Hochberg over the p-values of all
+stratum (encoding, length, and whether it has letters) by Benjamini-Hochberg over the p-values of all
 documents, so that among discarded runs the share of random ones stays below
 ``fdr`` whatever the number of runs, and long runs are not judged by short ones.
 The p-values meet on a fixed grid; only counts per stratum and grid cell are shuffled.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from math import erfc, exp, log, sqrt
 
@@ -37,12 +38,16 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, RANDOM_LEAST = 6, 20, 24, 20
 HEX_BYTES = table((0x30, 0x39), (0x61, 0x66))
 KEY_BYTES = table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2D, 0x2D), (0x2F, 0x2F), (0x5F, 0x5F))
 _DIGITS, _LOWER, _UPPER = b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Encodings from the smallest alphabet to the largest.
+_LETTERS = _UPPER + _LOWER
+#: Encodings from the smallest alphabet to the largest; those without digits are for keys that happen to have none.
 ENCODINGS = {
-    "hex": _DIGITS + b"abcdef", "HEX": _DIGITS + b"ABCDEF", "base32": _UPPER + b"234567", "base36": _DIGITS + _LOWER, "BASE36": _DIGITS + _UPPER,
+    "digits": _DIGITS, "hex": _DIGITS + b"abcdef", "HEX": _DIGITS + b"ABCDEF", "lower": _LOWER, "UPPER": _UPPER, "base32": _UPPER + b"234567", "base36": _DIGITS + _LOWER, "BASE36": _DIGITS + _UPPER,
+    "letters": _LETTERS, "lettersurl": _LETTERS + b"-_", "letters64": _LETTERS + b"+/", "lettersmixed": _LETTERS + b"+/-_",
     "base62": _DIGITS + _UPPER + _LOWER, "base64url": _UPPER + _LOWER + _DIGITS + b"-_", "base64": _UPPER + _LOWER + _DIGITS + b"+/",
     "mixed": _UPPER + _LOWER + _DIGITS + b"+/-_",
 }
+#: Dashes, dates and numbers must not share a stratum with keys; without letters they are read in an encoding that has some.
+_UNLETTERED = re.compile(rb"[^A-Za-z]*[+/_-][^A-Za-z]*")
 _CODES = {name: np.array([alphabet.find(bytes([i])) for i in range(256)]) for name, alphabet in ENCODINGS.items()}
 #: Cells of the p-value grid for each factor of e, and its last cell.
 GRID, LAST_CELL = 8, 400
@@ -56,7 +61,8 @@ def _normal_tail(z: float) -> float:
 def battery(token: bytes) -> tuple[str, float]:
     """(encoding, p-value of "uniformly random") of a run of key characters."""
     data = np.frombuffer(token, dtype=np.uint8)
-    name = next(n for n, codes in _CODES.items() if (codes[data] >= 0).all())
+    full = _UNLETTERED.fullmatch(token) is not None
+    name = next(n for n, codes in _CODES.items() if (codes[data] >= 0).all() and not (full and n.startswith("letters")))
     size, values = len(ENCODINGS[name]), _CODES[name][data]
     n = len(values)
     classes = max(2, min(size, n // 5))
@@ -89,12 +95,24 @@ def _base_spans(text: bytes, keyed: bool, hexes: list[tuple[int, int]]) -> list[
 
 
 def _random_runs(text: bytes, spans: list[tuple[int, int, int]], candidates: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
-    """Runs of key characters outside the pattern spans, with encoding and p-value."""
+    """Parts of the runs of key characters outside the pattern spans, with stratum and p-value."""
     out = []
+    lows, highs = [], []  # the spans' union
+    for low, _, high in spans:
+        if lows and low <= highs[-1]:
+            highs[-1] = max(highs[-1], high)
+        else:
+            lows.append(low)
+            highs.append(high)
     for a, b in candidates:
-        token = text[a:b]
-        if re.search(rb"[0-9]", token) and re.search(rb"[A-Za-z]", token) and not any(s < b and a < e for s, _, e in spans):
-            out.append((a, b, *battery(token)))
+        i = bisect_right(highs, a)
+        while a < b:
+            stop = min(b, lows[i]) if i < len(lows) else b
+            if stop - a >= RANDOM_LEAST:
+                name, p = battery(text[a:stop])
+                out.append((a, stop, name if re.search(rb"[A-Za-z]", text[a:stop]) else f"{name}-unlettered", p))
+            a = highs[i] if i < len(highs) else b
+            i += 1
     return out
 
 

@@ -59,3 +59,22 @@ def test_defined_results(spark):
     got = secrets.secret_spans(df).collect()
     assert len(got) == df.count() and all(list(r.spans) == sorted(r.spans) for r in got)
     assert secrets.secret_spans(corpora.empty(spark)).collect() == []
+
+
+def test_keys_without_digits_and_tails_of_base_spans(spark):
+    rng = random.Random(11)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    groups = {
+        "letters": [draw(string.ascii_letters, 20) for _ in range(40)], "digits": [draw(string.digits, 22) for _ in range(40)],
+        "no digit": [draw(string.ascii_letters, 19) + "+" + draw(string.ascii_letters, 20) for _ in range(40)],
+    }
+    keys = [k for g in groups.values() for k in g]
+    tails = [draw(string.ascii_letters + string.digits, 40) for _ in range(40)]
+    names = ["-" * 30, "a" * 30, "0" * 23, "_-" * 15, "abab" * 8] * 4
+    docs = [f"é {corpora.sentence(rng, 5)} {x} end" for x in keys + names] + [f"sha-{draw('0123456789abcdef', 40)}-{x} end" for x in tails]
+    got = {r.doc_id: r for r in secrets.secret_spans(corpora.documents(spark, docs, 0)).collect()}
+    assert np.mean([any(docs[i][s.start : s.end] == x for s in got[i].spans if s.kind == 3) for i, x in enumerate(keys)]) >= 0.95
+    first = len(keys) + len(names)
+    assert np.mean([any(docs[first + i][s.start : s.end] == "-" + x for s in got[first + i].spans if s.kind == 3) for i, x in enumerate(tails)]) >= 0.95
+    assert all(base(got[i]) == model(docs[i]) for i in got)
+    assert not any(s.kind == 3 for i in range(len(names)) for s in got[len(keys) + i].spans)
