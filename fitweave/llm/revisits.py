@@ -19,9 +19,20 @@ from pyspark.sql import functions as F
 
 from fitweave.functions.urls import canonical_url
 from fitweave.llm.steps import stored
-from fitweave.workloads.postings_sql import _LINKS as ORACLE_LINKS
 
 SPAN = 3600
+#: Columns of a capture by page_id, its number i and the page's body hash, in SQL that Spark and DuckDB read alike.
+_FULL = "(i = 0 and page_id % 23 > 0 or i = 2 and page_id % 3 = 0)"
+_STATE = "case when i >= 2 and page_id % 3 = 0 then concat(body, '-2') else body end"
+_CAPTURE = {
+    "record_id": "page_id * 4 + i",
+    "url": "case when not (i = 3 and page_id % 17 = 1) then url end",
+    "at": "case when not (i = 1 and page_id % 19 = 2) then page_id * 7 + i * 2000 end",
+    "kind": f"case when {_FULL} then 'response' else 'revisit' end",
+    "etag": f"case when {_FULL} then {_STATE} when page_id % 7 = 3 then null when i = 2 and page_id % 5 = 0 then 'other' when page_id % 4 = 1 then concat('W/', {_STATE}) else {_STATE} end",
+    "last_modified": f"case when page_id % 13 = 4 and {_FULL} then null when page_id % 2 = 0 and i = 3 and not {_FULL} then 'later' else concat('day ', page_id % 11) end",
+    "digest": f"case when page_id % 9 = 5 and i = 1 and not {_FULL} then 'none of them' when page_id % 10 = 7 and not {_FULL} then null else {_STATE} end",
+}
 # Headers that a not-modified answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 
@@ -59,16 +70,13 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Four captures of every page: a response, a revisit, a changed response or a revisit, and a last revisit."""
-    i, p, body = F.col("i"), F.col("page_id"), F.md5(F.coalesce("html", F.lit("")))
-    changed = (i == 2) & (p % 3 == 0)
-    tag = F.when(changed | ((i == 3) & (p % 3 == 0)), F.concat(body, F.lit("-2"))).when((i == 2) & (p % 5 == 0), "other").otherwise(body)
-    rows = pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
-    return rows.select(
-        (p * 4 + i).alias("record_id"), "url", (p * 7 + i * 2000).alias("at"), F.when((i == 0) | changed, "response").otherwise("revisit").alias("kind"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), tag.alias("digest"),
-        F.create_map(F.lit("Date"), i.cast("string"), F.lit("Content-Type"), F.when(i == 0, "text/html").otherwise("x")).alias("headers"),
-    )
+    """Four captures of every page: a response, a revisit, a changed response or a revisit, and a last revisit.
+
+    Validators of a revisit agree with the page's last response, are weak, are missing or differ, each by a rule on the
+    page's number; some pages were never fetched in full, some captures have no URL or no time.
+    """
+    rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("body"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    return rows.selectExpr(*[f"{value} as {name}" for name, value in _CAPTURE.items()], "map('Date', cast(i as string), 'Content-Type', if(i = 0, 'text/html', 'x')) as headers")
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +86,19 @@ def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_revisits": op3_revisits}
+_CAPTURES_SQL = ", ".join(f"{value} as {name}" for name, value in _CAPTURE.items() if name != "url")
 ORACLE = {
     "op3_revisits": f"""
-with {ORACLE_LINKS}, kept as (select page_id, base, path, list_sort(list_filter(string_split(q, '&'), lambda p: regexp_matches(p, '^[^=]*=.') and not regexp_matches(lower(p), '^(utm_|trk=|trackingid=|refid=|position=|pagenum=)'))) ps from split),
-u as (select page_id, base || regexp_replace(path, '/+$', '') || case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end key from kept),
-c as (select page_id * 4 + i record_id, key, page_id * 7 + i * 2000 as tm, i, i = 0 or i = 2 and page_id % 3 = 0 as full_one,
-  case when i >= 2 and page_id % 3 = 0 then md5(coalesce(html, '')) || '-2' when i = 2 and page_id % 5 = 0 then 'other' else md5(coalesce(html, '')) end tag
-  from pages join u using (page_id) cross join range(4) r(i)),
-m as (select v.record_id, any_value(v.i) i, any_value(v.tag) tag, arg_max(o.record_id, (o.tm, o.record_id)) rid, arg_max(o.tag, (o.tm, o.record_id)) rtag, arg_max(o.i, (o.tm, o.record_id)) ri
-  from c v left join c o on o.key = v.key and o.tm < v.tm and o.full_one where not v.full_one group by v.record_id),
-j as (select *, case when rid is null then 'no response' when tag <> rtag then 'etag differs' else 'resolved' end outcome from m)
-select cast(record_id as bigint) record_id, outcome, cast(case when outcome = 'resolved' then rid end as bigint) response_id, case when outcome = 'resolved' then cast(i as varchar) end date,
-  case when outcome = 'resolved' then case when ri = 0 then 'text/html' else 'x' end end content_type from j"""
+with links as (select page_id, md5(coalesce(html, '')) body, regexp_replace(url, '#.*$', '') u from pages),
+split as (select page_id, body, lower(regexp_extract(u, '^([^:]+)', 1)) || '://' || lower(regexp_extract(u, '://([^/?]*)', 1)) base, regexp_extract(u, '://[^/?]*([^?]*)', 1) path,
+  list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.') and not regexp_matches(lower(p), '^(utm_|trk=|trackingid=|refid=|position=|pagenum=)'))) ps from links),
+u as (select page_id, body, base || regexp_replace(path, '/+$', '') || case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end url from split),
+n as (select * from u cross join range(4) r(i)),
+c as (select *, regexp_replace(etag, '^W/', '') tag from (select i, {_CAPTURE["url"]} as key, {_CAPTURES_SQL} from n)),
+m as (select v.record_id, any_value(v.i) i, any_value(v.key is null or v."at" is null) lost, any_value(v.tag) tag, any_value(v.last_modified) mod, any_value(v.digest) digest,
+  arg_max(struct_pack(id := o.record_id, i := o.i, tag := o.tag, mod := o.last_modified, digest := o.digest), (o."at", o.record_id)) filter (o.record_id is not null) r
+  from c v left join c o on o.key = v.key and o."at" < v."at" and o.kind = 'response' where v.kind = 'revisit' group by v.record_id),
+j as (select *, case when lost then 'no key' when r is null then 'no response' when tag <> r.tag then 'etag differs' when mod <> r.mod then 'modified' when digest <> r.digest then 'digest differs' else 'resolved' end outcome from m)
+select cast(record_id as bigint) record_id, outcome, cast(case when outcome = 'resolved' then r.id end as bigint) response_id, case when outcome = 'resolved' then cast(i as varchar) end date,
+  case when outcome = 'resolved' then case when r.i = 0 then 'text/html' else 'x' end end content_type from j"""
 }
