@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "tokens", "revisits", "rules", "repeats", "toxicity", "mixing", "secrets", "quality", "decontaminate", "codebooks", "fingerprints"]
+MODULES = ["minhash", "tokens", "revisits", "rules", "repeats", "toxicity", "mixing", "secrets", "quality", "decontaminate", "codebooks", "periods", "fingerprints"]
 
 
 def collect(attribute: str) -> dict:
