@@ -149,23 +149,61 @@ def mentions_label(text: Column, label: Column) -> Column:
     return F.contains(F.lower(text), F.lower(label)) & F.regexp_like(body, pattern)
 
 
+#: What counts as a letter or digit at a label's edge when case is ignored, and longer labels' part that finds them.
+_IN_WORD, _MOST_WORDS = "a-z0-9\u017f\u0131", 8
+
+
+def _folded(text: Column) -> Column:
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
+def _word_grams(folded: Column, lengths: list[int], longest: int) -> Column:
+    """Distinct runs of so many words with what stands between them, none longer than ``longest`` characters."""
+    both = F.struct(F.regexp_extract_all(folded, F.lit(f"([{_IN_WORD}]+)"), F.lit(1)).alias("word"),
+                    F.transform(F.regexp_extract_all(folded, F.lit(f"[{_IN_WORD}]+[^{_IN_WORD}]*"), F.lit(0)), lambda w: F.when(F.length(w) < longest, w)).alias("whole"))
+
+    def build(whole: Column, level: Column, n: int, kept: list[Column]) -> Column:
+        kept = [*kept, level] if n in lengths else kept
+        if n == max(lengths):
+            return F.array_distinct(F.filter(F.concat(*kept), lambda g: F.length(g) <= longest))
+        longer = F.zip_with(whole, F.slice(level, F.lit(2), F.size(level)), lambda head, rest: F.concat(head, rest))
+        return let(longer, lambda x: build(whole, x, n + 1, kept))
+
+    return let(both, lambda b: build(b["whole"], b["word"], 1, []))
+
+
 def vocabulary_mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """K5 for a large vocabulary: docs (doc_id, text) x labels (label) -> (doc_id, label).
+    """K5 for a large vocabulary: docs (doc_id, text) x labels (label) -> (doc_id, label); doc_id is a key.
 
-    Documents meet labels only through the label's longest token (an equi-join
-    on distinct tokens), then each candidate is checked against the whole text.
-    The text itself never rides through the token shuffle.
+    A mention starts and ends at the edges of a text's words, so a label that does too is found by an equi-join of
+    the whole label with the text's runs of as many words as some label has, and the text is not needed again. Other labels
+    (with signs at an edge, of very many words, or with a rule of their own) are found by their words, signs by one of them, and
+    are then checked on the text, all candidates of a text at once.
     """
+    word = f"[{_IN_WORD}]+"
     wanted = labels.select(strip(F.col("label")).alias("label")).where("label <> ''").distinct()
-    wanted = checkpointed(wanted.withColumn("anchor", _anchor(F.col("label"))))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0)))).alias("anchor"))
-    candidates = tokens.join(wanted, "anchor").select("doc_id", "label")
-    checked = candidates.join(docs, "doc_id").where(mentions_label(F.col("text"), F.col("label")))
-    longest = wanted.select(F.max(F.length(skill_key(F.col("label"))))).first()[0] or 0
-    short = docs.where(_may_equal_a_key(F.lower("text"), longest)).select("doc_id", skill_key(F.col("text")).alias("key"))
-    same = short.join(wanted.select("label", skill_key(F.col("label")).alias("key")), "key")
-    return checked.select("doc_id", "label").unionByName(same.select("doc_id", "label")).distinct()
+    folded = _folded(F.col("label"))
+    core = F.regexp_extract(folded, f"{word}(?:[^{_IN_WORD}]+{word}){{0,{_MOST_WORDS - 1}}}", 0)
+    is_exact = (core == folded) & (skill_key(F.col("label")) != "azure")
+    wanted = checkpointed(wanted.select("label", skill_key(F.col("label")).alias("same_key"), is_exact.alias("exact"), F.regexp_count(core, F.lit(word)).alias("words"),
+                                        F.when(core != "", core).otherwise(F.regexp_extract(folded, r"\S", 0)).alias("key")))
+    # a row of a few numbers
+    seen = wanted.select(F.collect_set("words").alias("lengths"), F.max(F.length("key")).alias("longest"), F.max(F.length("same_key")).alias("longest_key"), F.bool_and("exact").alias("exact")).first()
+    if not seen.lengths:
+        return docs.select("doc_id", F.lit("").alias("label")).limit(0)
+    text, lengths = _folded(F.col("text")), sorted(n for n in seen.lengths if n)
+    keys = [_word_grams(text, lengths, seen.longest)] if lengths else []
+    if 0 in seen.lengths:
+        keys.append(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[^\s{_IN_WORD}]"), F.lit(0))))
+    met = docs.where("text is not null").select("doc_id", F.explode(F.concat(*keys)).alias("key")).join(wanted.select("key", "label", "exact"), "key")
+    found = met.where("exact").select("doc_id", "label")
+    if not seen.exact:
+        met = met.where("not exact").groupBy("doc_id").agg(F.collect_list("label").alias("candidates"))
+        checked = met.join(docs, "doc_id").select("doc_id", F.explode(F.filter("candidates", lambda label: mentions_label(F.col("text"), label))).alias("label"))
+        found = found.unionByName(checked)
+    short = docs.where(_may_equal_a_key(F.lower("text"), seen.longest_key)).select("doc_id", "text", skill_key(F.col("text")).alias("same_key"))
+    same = short.join(wanted.select("label", "same_key"), "same_key").where(~mentions_label(F.col("text"), F.col("label")))
+    return found.unionByName(same.select("doc_id", "label"))
 
 
 # --- K6 coverage -----------------------------------------------------------

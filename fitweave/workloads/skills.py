@@ -60,10 +60,11 @@ def mentions(spark, sf_dir):
 
 
 def conversation_labels(spark, sf_dir):
-    words = F.split(F.col("text"), " ")
-    first = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.explode(F.array(
-        F.get(words, F.lit(0)), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))).alias("label"))
-    return first.where("label <> ''").distinct()
+    """Every word and every pair of neighbouring words of the users' turns."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(words.alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    return turns.select(F.explode(F.concat("w", pairs)).alias("label")).distinct()
 
 
 def large_vocabulary(spark, sf_dir):
@@ -196,6 +197,12 @@ hits AS (SELECT profile_id, doc_id AS posting_id, count(*) AS n FROM all_tools G
 _SPELLINGS_SQL = """[replace(cased, ' ', ''), p_name, replace(p_name, ' ', '_'), ' ',
   CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '') ELSE p_brand END, cased, replace(p_brand, '#', ' #')]"""
 
+
+def _edged(column: str) -> str:
+    """Lower case with a mark at both ends of every run of letters and digits."""
+    return f"regexp_replace(lower({column}), '([a-z0-9]+)', chr(1) || '\\1' || chr(1), 'g')"
+
+
 ORACLE = {
     "k1_skill_key": f"SELECT p_partkey, {Q.key('''p_name || ' & ' || p_brand || '/' || p_type || '_x-(y)  ' ''')} AS key FROM part",
     "k2_generic_filter": f"WITH {_LISTED} SELECT label, count(*) AS n FROM listed WHERE {Q.key('label')} NOT IN {Q.GENERIC} GROUP BY label",
@@ -210,12 +217,16 @@ ORACLE = {
           WHERE label <> '' AND {Q.key('label')} NOT IN {Q.GENERIC}) WHERE rn = 1""",
     "k5_mentions": f"""WITH {SKILL_DOCUMENTS}, {Q.VOCABULARY}, {_MENTIONS}
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS pos, label FROM mentions""",
-    "k5_large_vocabulary": f"""WITH {SKILL_DOCUMENTS}, words AS (SELECT string_split(text, ' ') AS w FROM conversations WHERE role = 'user'),
-        labels AS (SELECT DISTINCT label FROM (SELECT w[1] AS label FROM words UNION ALL
-                   SELECT CASE WHEN len(w) > 1 THEN w[1] || ' ' || w[2] ELSE w[1] END FROM words) WHERE label <> ''),
-        tidy AS (SELECT DISTINCT regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS label FROM labels)
-        SELECT doc_id, label FROM skill_docs CROSS JOIN tidy WHERE contains(lower(text), lower(label))
-          AND regexp_matches(text, '(?i)(^|[^a-z0-9])' || {Q.escape_column('label')} || '([^a-z0-9]|$)')""",
+    "k5_large_vocabulary": f"""WITH {SKILL_DOCUMENTS}, words AS (SELECT list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations WHERE role = 'user'),
+        labels AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS label FROM words),
+        tidy AS (SELECT DISTINCT regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS label FROM labels),
+        keyed AS (SELECT label, string_split(trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')), ' ')[1] AS first_word, {_edged('label')} AS edged FROM tidy),
+        edged_docs AS MATERIALIZED (SELECT doc_id, text, {_edged('text')} AS edged FROM skill_docs),
+        doc_words AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS first_word FROM skill_docs
+                      UNION SELECT doc_id, '' FROM skill_docs)
+        SELECT doc_id, label FROM doc_words JOIN keyed USING (first_word) JOIN edged_docs d USING (doc_id) WHERE contains(d.edged, keyed.edged) AND
+          (regexp_matches(label, '(?i)^[a-z0-9](.*[a-z0-9])?$') OR regexp_matches(text, '(?i)(^|[^a-z0-9])' || {Q.escape_column('label')} || '([^a-z0-9]|$)'))
+        UNION SELECT doc_id, label FROM skill_docs JOIN tidy ON {Q.key('text')} = {Q.key('label')}""",
     "k6_coverage": f"""WITH {_LISTED}, {Q.CANON}, {Q.ROLES}, {_coverage_sql('listed', 'listed')}
         SELECT job_label, profile_label, kind FROM covered WHERE kind IS NOT NULL""",
     "k7_compare": f"""{_TEXT_PREFIX}, {_coverage_sql('tools', 'customer_skills')}, {_VIA}
