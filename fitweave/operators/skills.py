@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,59 +152,84 @@ def mentions_label(text: Column, label: Column) -> Column:
 
 #: What counts as a letter or digit at a label's edge when case is ignored, and longer labels' part that finds them.
 _IN_WORD, _MOST_WORDS = "a-z0-9\u017f\u0131", 8
+#: The ends of a text and the seams of a run with its surroundings; control characters of texts and labels give way to another one.
+_END, _SEAM, _CONTROL = "\u0001", "\u0002", "\u0003"
 
 
 def _folded(text: Column) -> Column:
-    return F.lower(F.translate(text, "\u0130", "i"))
+    return F.lower(F.translate(text, "\u0130" + _END + _SEAM, "i" + _CONTROL * 2))
 
 
-def _word_grams(folded: Column, lengths: list[int], longest: int) -> Column:
-    """Distinct runs of so many words with what stands between them, none longer than ``longest`` characters."""
-    both = F.struct(F.regexp_extract_all(folded, F.lit(f"([{_IN_WORD}]+)"), F.lit(1)).alias("word"),
-                    F.transform(F.regexp_extract_all(folded, F.lit(f"[{_IN_WORD}]+[^{_IN_WORD}]*"), F.lit(0)), lambda w: F.when(F.length(w) < longest, w)).alias("whole"))
+def _word_grams(folded: Column, lengths: list[int], longest: int, edges: tuple[int, int] | None = None) -> Column:
+    """Distinct runs of so many words with what stands between them, none longer than ``longest`` characters.
 
-    def build(whole: Column, level: Column, n: int, kept: list[Column]) -> Column:
-        kept = [*kept, level] if n in lengths else kept
+    With ``edges`` each run comes with so many characters before and after it, as one string with _SEAM between the three; _END stands for the ends of the text.
+    """
+    ends = F.concat(F.lit(_END), folded, F.lit(_END))
+    both = F.struct(F.regexp_extract_all(folded, F.lit(f"([{_IN_WORD}]+)"), F.lit(1)).alias("word"),
+                    F.transform(F.regexp_extract_all(folded, F.lit(f"[{_IN_WORD}]+[^{_IN_WORD}]*"), F.lit(0)), lambda w: F.when(F.length(w) < longest, w)).alias("whole"),
+                    (F.regexp_extract_all(ends, F.lit(f"[^{_IN_WORD}]+"), F.lit(0)) if edges else F.array()).alias("gaps"))
+
+    def sided(level: Column, n: int, gaps: Column) -> Column:
+        before = F.zip_with(level, gaps, lambda g, left: F.concat(F.right(left, F.lit(edges[0])), F.lit(_SEAM), g))
+        after = F.slice(gaps, F.lit(n + 1), F.size(gaps))
+        return F.zip_with(before, after, lambda g, right: F.concat(g, F.lit(_SEAM), F.left(right, F.lit(edges[1]))))
+
+    def build(b: Column, level: Column, n: int, kept: list[Column]) -> Column:
+        if n in lengths:
+            short = F.transform(level, lambda g: F.when(F.length(g) <= longest, g))
+            kept = [*kept, sided(short, n, b["gaps"]) if edges else short]
         if n == max(lengths):
-            return F.array_distinct(F.filter(F.concat(*kept), lambda g: F.length(g) <= longest))
-        longer = F.zip_with(whole, F.slice(level, F.lit(2), F.size(level)), lambda head, rest: F.concat(head, rest))
-        return let(longer, lambda x: build(whole, x, n + 1, kept))
+            return F.array_distinct(F.array_compact(F.concat(*kept)))
+        longer = F.zip_with(b["whole"], F.slice(level, F.lit(2), F.size(level)), lambda head, rest: F.concat(head, rest))
+        return let(longer, lambda x: build(b, x, n + 1, kept))
 
-    return let(both, lambda b: build(b["whole"], b["word"], 1, []))
+    return let(both, lambda b: build(b, b["word"], 1, []))
 
 
 def vocabulary_mentions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """K5 for a large vocabulary: docs (doc_id, text) x labels (label) -> (doc_id, label); doc_id is a key.
 
-    A mention starts and ends at the edges of a text's words, so a label that does too is found by an equi-join of
-    the whole label with the text's runs of as many words as some label has, and the text is not needed again. Other labels
-    (with signs at an edge, of very many words, or with a rule of their own) are found by their words, signs by one of them, and
-    are then checked on the text, all candidates of a text at once.
+    A mention starts and ends at the edges of a text's words, or with signs that stand before or after a word. So a label is found by an
+    equi-join of its words, with what stands between them, with the text's runs of as many words as some label has; signs at its
+    edges are compared with those around the run, and the text is not needed again. The few labels without such words, with very
+    many, or with a rule of their own are found by one sign or their first words, and are then checked on the text, all candidates of a text at once.
     """
     word = f"[{_IN_WORD}]+"
     wanted = labels.select(strip(F.col("label")).alias("label")).where("label <> ''").distinct()
     folded = _folded(F.col("label"))
     core = F.regexp_extract(folded, f"{word}(?:[^{_IN_WORD}]+{word}){{0,{_MOST_WORDS - 1}}}", 0)
-    is_exact = (core == folded) & (skill_key(F.col("label")) != "azure")
-    wanted = checkpointed(wanted.select("label", skill_key(F.col("label")).alias("same_key"), is_exact.alias("exact"), F.regexp_count(core, F.lit(word)).alias("words"),
-                                        F.when(core != "", core).otherwise(F.regexp_extract(folded, r"\S", 0)).alias("key")))
-    # a row of a few numbers
-    seen = wanted.select(F.collect_set("words").alias("lengths"), F.max(F.length("key")).alias("longest"), F.max(F.length("same_key")).alias("longest_key"), F.bool_and("exact").alias("exact")).first()
-    if not seen.lengths:
-        return docs.select("doc_id", F.lit("").alias("label")).limit(0)
-    text, lengths = _folded(F.col("text")), sorted(n for n in seen.lengths if n)
-    keys = [_word_grams(text, lengths, seen.longest)] if lengths else []
-    if 0 in seen.lengths:
-        keys.append(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[^\s{_IN_WORD}]"), F.lit(0))))
-    met = docs.where("text is not null").select("doc_id", F.explode(F.concat(*keys)).alias("key")).join(wanted.select("key", "label", "exact"), "key")
-    found = met.where("exact").select("doc_id", "label")
-    if not seen.exact:
-        met = met.where("not exact").groupBy("doc_id").agg(F.collect_list("label").alias("candidates"))
-        checked = met.join(docs, "doc_id").select("doc_id", F.explode(F.filter("candidates", lambda label: mentions_label(F.col("text"), label))).alias("label"))
-        found = found.unionByName(checked)
-    short = docs.where(_may_equal_a_key(F.lower("text"), seen.longest_key)).select("doc_id", "text", skill_key(F.col("text")).alias("same_key"))
-    same = short.join(wanted.select("label", "same_key"), "same_key").where(~mentions_label(F.col("text"), F.col("label")))
-    return found.unionByName(same.select("doc_id", "label"))
+    head, tail = (F.regexp_extract(folded, p, 1) for p in (f"^([^{_IN_WORD}]*)", f"([^{_IN_WORD}]*)$"))
+    plain = (F.concat(head, core, tail) == folded) & (core != "") & (skill_key(F.col("label")) != "azure")
+    kind = F.when(~plain, "checked").when(core == folded, "whole").otherwise("signed")
+    wanted = checkpointed(wanted.select("label", skill_key(F.col("label")).alias("same_key"), kind.alias("kind"), head.alias("head"), tail.alias("tail"),
+                                        F.regexp_count(core, F.lit(word)).alias("words"), F.when(core != "", core).otherwise(F.regexp_extract(folded, r"\S", 0)).alias("key")))
+    # a row of each kind
+    seen = {r.kind: r for r in wanted.groupBy("kind").agg(F.collect_set("words").alias("lengths"), *[F.max(F.length(c)).alias(c) for c in ("key", "same_key", "head", "tail")]).collect()}
+    text, docs, found = _folded(F.col("text")), docs.where("text is not null"), []
+    if "whole" in seen:
+        keys = docs.select("doc_id", F.explode(_word_grams(text, seen["whole"].lengths, seen["whole"].key)).alias("key"))
+        found.append(keys.join(wanted.where("kind = 'whole'").select("key", "label"), "key"))
+    if "signed" in seen:
+        most = seen["signed"]
+        sided = docs.select("doc_id", F.explode(_word_grams(text, most.lengths, most.key, (most["head"] + 1, most["tail"] + 1))).alias("run"))
+        sided = sided.select("doc_id", F.split("run", _SEAM).alias("p")).selectExpr("doc_id", "p[0] as before", "p[1] as key", "p[2] as after")
+        met = sided.join(wanted.where("kind = 'signed'").select("key", "label", "head", "tail"), "key")
+        fits = lambda side, sign, whole: (F.length(sign) == 0) | (whole(side, sign) & (F.length(side) > F.length(sign)))
+        met = met.where(fits(F.col("before"), F.col("head"), F.endswith) & fits(F.col("after"), F.col("tail"), F.startswith))
+        found.append(met.select("doc_id", "label").distinct())
+    if "checked" in seen:
+        lengths = [n for n in seen["checked"].lengths if n]
+        keys = [_word_grams(text, lengths, seen["checked"].key)] if lengths else []
+        if 0 in seen["checked"].lengths:
+            keys.append(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[^\s{_IN_WORD}]"), F.lit(0))))
+        met = docs.select("doc_id", F.explode(F.concat(*keys)).alias("key")).join(wanted.where("kind = 'checked'").select("key", "label"), "key")
+        met = met.groupBy("doc_id").agg(F.collect_list("label").alias("candidates")).join(docs, "doc_id")
+        found.append(met.select("doc_id", F.explode(F.filter("candidates", lambda label: mentions_label(F.col("text"), label))).alias("label")))
+    longest = max((r.same_key for r in seen.values()), default=0)
+    short = docs.where(_may_equal_a_key(F.lower("text"), longest)).select("doc_id", "text", skill_key(F.col("text")).alias("same_key"))
+    found.append(short.join(wanted.select("label", "same_key"), "same_key").where(~mentions_label(F.col("text"), F.col("label"))))
+    return reduce(DataFrame.unionByName, [rows.select("doc_id", "label") for rows in found])
 
 
 # --- K6 coverage -----------------------------------------------------------
