@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitweave.functions.constants import NULL_WORDS
-from fitweave.functions.text import squeeze, strip
+from fitweave.functions.text import let, literal_array, squeeze, strip
 
 def clean_text(value: Column) -> Column:
     """Trimmed text; blanks and null-like words become null."""
@@ -17,25 +17,46 @@ def clean_text(value: Column) -> Column:
     return F.when((text != "") & ~F.lower(text).isin(NULL_WORDS), text)
 
 
+_SEAM = "\u0002"
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;\u0002]{1,32};?)"
+#: Names that count without a semicolon, too, longest first.
+_BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+#: Control numbers that stand for the characters of an old code page.
+_OLD = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
 def _named() -> Column:
     """Names of the standard's entities -> characters, as one folded constant."""
-    return F.from_json(F.lit(json.dumps({name[:-1]: value for name, value in html5.items() if name.endswith(";")})), "map<string,string>")
+    return F.from_json(F.lit(json.dumps({name: value for name, value in html5.items()})), "map<string,string>")
 
 
-def unescape(text: Column) -> Column:
-    """Named and numeric character references in one pass over the text; unknown names stay."""
-    def character(digits: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+def _character(code: Column) -> Column:
+    """Character of a number: old control numbers are mapped, impossible ones are U+FFFD, those that stand for nothing vanish."""
+    nothing = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    impossible = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    old = F.element_at(literal_array([_OLD[n] for n in sorted(_OLD)]), (code - 0x7F).cast("int"))
+    return F.when(impossible, "\ufffd").when(code.between(0x80, 0x9F), old).when(nothing, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
 
-    def meaning(entity: Column) -> Column:
-        code = F.substring(entity, 2, 8)
-        return F.when(entity.rlike("^#[xX]"), character(F.substring(entity, 3, 6))).when(
-            F.startswith(entity, F.lit("#")), character(F.hex(code.try_cast("long")))).otherwise(F.element_at(_named(), entity))
+def _meaning(reference: Column) -> Column:
+    """Text of one reference: a number, a whole name, or the longest name without semicolon that it begins with."""
+    digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*)", 1)  # of more than seven digits no number is a character
+    code = F.when(F.length(digits) > 7, F.lit(None).cast("bigint")).when(digits == "", F.lit(0).cast("bigint")).when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    name = F.substring(reference, 2, 40)
+    begins = F.regexp_extract(name, f"^(?:{_BARE})", 0)
+    short = F.when(begins != "", F.concat(F.element_at(_named(), begins), F.substr(name, F.length(begins) + 1))).otherwise(reference)
+    return F.when(reference.startswith("&#"), let(code, _character)).otherwise(F.coalesce(F.when(F.endswith(name, F.lit(";")), F.element_at(_named(), name)), short))
+
+
+def unescape(text: Column) -> Column:
+    """Named and numeric character references, from left to right in one pass: what a reference spells is not read again."""
+    def joined(t: Column) -> Column:
+        between, found = F.split(t, _REFERENCE), F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0))
+        distinct = F.array_distinct(found)
+        known = F.map_from_arrays(distinct, F.transform(distinct, _meaning))
+        return let(known, lambda k: F.array_join(F.zip_with(between, found, lambda before, r: F.concat(before, F.coalesce(F.element_at(k, r), F.lit("")))), ""))
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
-    others = F.filter(found, lambda e: e != "amp")  # "&amp;" is last, so that what it spells stays spelled
-    text = F.aggregate(others, text, lambda acc, e: F.coalesce(F.replace(acc, F.concat(F.lit("&"), e, F.lit(";")), meaning(e)), acc))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), joined(t)).otherwise(t))
 
 
 def plain_text(value: Column, limit: int | None = None) -> Column:
@@ -44,7 +65,8 @@ def plain_text(value: Column, limit: int | None = None) -> Column:
     text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?i)</?(?:p|div|li)(?=[\s/>])[^>]*>|<(?:br|h1|h2|h3)(?=[\s/>])[^>]*>", "\n")
-    text = F.regexp_replace(text, r"</?[A-Za-z][^>]*>|<![^>]*>", "")
+    # references between tags are read once more; a tag that vanishes must not make two halves one reference
+    text = F.replace(unescape(F.regexp_replace(text, r"</?[A-Za-z][^>]*>|<![^>]*>", _SEAM)), F.lit(_SEAM), F.lit(""))
     lines = F.filter(F.transform(F.split(text, r"[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), squeeze), lambda v: v != "")
     joined = F.array_join(lines, "\n")
     return F.nullif(F.left(joined, F.lit(limit)) if limit else joined, F.lit(""))

@@ -180,8 +180,16 @@ def s12(spark, sf_dir):
 
 # --- pages ---------------------------------------------------------------------
 
+#: A last paragraph of each page, as written and as read after the three passes: odd numbers, names without semicolon, nested references.
+REFERENCES = [
+    ("fee &#8364;5", "fee \u20ac5"), ("&#x80;9", "\u20ac9"), ("&#9999999;!", "\ufffd!"), ("&#xD800;&#xFFFFFF;?", "\ufffd\ufffd?"), ("&#0;0", "\ufffd0"), ("R&ampD", "R&D"), ("&copy2024", "\u00a92024"),
+    ("&notit;", "\u00acit;"), ("&#38;amp;amp;lt; deep", "&lt; deep"), ("&hearts;&zzz;", "\u2665&zzz;"), ("&#1;x&#xFFFE;y", "xy"), ("&nbsp x", "x"), ("&am<b>p;</b>", "&amp;"), ("&", "&"),
+]
+
+
 def n1(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(H.plain_text(F.col("html"))).alias("text"))
+    written = F.concat("html", F.lit("<p>"), pick([w for w, _ in REFERENCES], F.col("page_id")), F.lit("</p>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(H.plain_text(written)).alias("text"))
 
 
 def structured_pages(spark, sf_dir) -> DataFrame:
