@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use inside.
-CLASHING = ["row", "id", "h", "node", "size", "bucket", "gram", "cover", "component", "marks", "spans", "runs", "slot", "weight", "bytes", "score", "part", "file", "words", "key", "kept"]
+CLASHING = ["row", "id", "h", "node", "size", "bucket", "gram", "cover", "component", "marks", "spans", "runs", "slot", "weight", "bytes", "score", "part", "file", "words", "key", "kept", "pipeline_key", "pipeline_twice"]
 
 
 def sentence(rng: random.Random, words: int, vocabulary: int = 400) -> str:
