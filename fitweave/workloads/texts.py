@@ -48,7 +48,7 @@ def memory(spark, sf_dir):
     """Known chunks: those of French and German documents, with a marker as translation."""
     docs = table(spark, sf_dir, "documents").where("lang in ('fr', 'de')").select("doc_id")
     known = L.chunk_table(paragraphs(spark, sf_dir).join(docs, "doc_id"))
-    return known.select("chunk_hash", F.lit("en").alias("target"), F.concat(F.lit("T: "), F.left("chunk", F.lit(20))).alias("translated"),
+    return known.select("chunk_hash", F.lit("en").alias("target"), F.concat(F.lit("T: "), "chunk").alias("translated"),
                         F.lit("fr").alias("detected")).distinct()
 
 
@@ -256,7 +256,7 @@ blocks AS (SELECT doc_id, no, string_agg(part, chr(10) || chr(10) ORDER BY i) AS
 chunk_rows AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no, cut) - 1 AS INTEGER) AS chunk_no,
   substr(block, cut + 1, 1500) AS chunk, sha256(substr(block, cut + 1, 1500)) AS h
   FROM (SELECT *, unnest(range(0, greatest(length(block), 1), 1500)) AS cut FROM blocks))"""
-_MEMORY = f"""{_CHUNKS}, memory AS (SELECT DISTINCT h, 'T: ' || substr(chunk, 1, 20) AS t FROM chunk_rows JOIN documents USING (doc_id) WHERE lang IN ('fr', 'de')),
+_MEMORY = f"""{_CHUNKS}, memory AS (SELECT DISTINCT h, 'T: ' || chunk AS t FROM chunk_rows JOIN documents USING (doc_id) WHERE lang IN ('fr', 'de')),
 flags AS MATERIALIZED (SELECT doc_id, {english_sql('text')} AS english, trim(replace(text, chr(10), chr(10) || chr(10)), chr(10) || ' ') AS whole FROM documents),
 looked AS (SELECT c.doc_id, count(*) FILTER (m.t IS NULL) AS n_missing, string_agg(m.t, chr(10) || chr(10) ORDER BY c.chunk_no) AS joined,
   max(CASE WHEN m.t IS NOT NULL THEN 'fr' END) AS found FROM chunk_rows c JOIN flags f USING (doc_id) LEFT JOIN memory m ON m.h = c.h WHERE NOT english GROUP BY ALL),
