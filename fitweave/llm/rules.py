@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitweave.functions.text import let
+from fitweave.llm.steps import stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -138,12 +139,24 @@ def ablations(entries: DataFrame, policies: list[Policy]) -> DataFrame:
     )
 
 
+def judged(entries: DataFrame, policies: list[Policy]) -> DataFrame:
+    """The ledger's rows with what its bits say: kept_<version> of every policy, and of the last one the rule that alone rejects
+    the text (``sole_rule``) with the number of texts that would be kept without that rule (``n_kept_without``)."""
+    current = policies[-1]
+    failed = F.col("failed_rules").bitwiseAND(F.lit(current.mask))
+    sole = F.coalesce(*[F.when(failed == BIT[rule], F.lit(rule)) for rule in current.rules])
+    rows = entries.select("*", *[kept_by(p).alias(f"kept_{p.version}") for p in policies], sole.alias("sole_rule"))
+    counts = ablations(entries, [current]).select(F.col("rule").alias("sole_rule"), "n_kept_without")
+    return rows.join(F.broadcast(counts), "sole_rule", "left")  # a row for each rule
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents and the verdict of the current policy."""
-    entries = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    base_failed = ~kept_by(BASE)
-    return entries.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & kept_by(POLICIES[-1])).alias("kept"), "failed_rules"
+    """The ledger of all documents, written once; the verdicts of all policies and the ablation of the current one are read from it."""
+    entries = stored(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger")
+    kept = F.col(f"kept_{POLICIES[-1].version}")
+    return judged(entries, POLICIES).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col(f"kept_{BASE.version}")).alias("base_failed"),
+        (F.col(f"kept_{BASE.version}") & kept).alias("kept"), "failed_rules", *[f"kept_{p.version}" for p in POLICIES[1:]], "sole_rule", "n_kept_without",
     )
 
 
@@ -162,7 +175,10 @@ m as (select doc_id, len(w) n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D
   length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) n_letters, length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) n_capitals,
   len(list_filter(l, lambda x: ltrim(x)[1] in ('-', '*', '•'))) n_bullet_lines, len(list_filter(l, lambda x: rtrim(x) like '%...' or rtrim(x) like '%…')) n_ellipsis_lines
   from w left join rep using (r)),
-b as (select *, {_TESTS} failed_rules from m)
+b as (select *, {_TESTS} failed_rules from m),
+rules as (select * from (values {", ".join(f"('{rule}', {BIT[rule]})" for rule in POLICIES[-1].rules)}) v(rule, bit)),
+ablated as (select rule, bit, count(*) filter (failed_rules & {POLICIES[-1].mask} & ~bit = 0) n_kept_without from rules cross join b group by all)
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines,
-  cast(n_repeat_words as bigint) n_repeat_words, failed_rules & {BASE.mask} <> 0 base_failed, failed_rules & {POLICIES[-1].mask} = 0 kept, cast(failed_rules as bigint) failed_rules from b"""
+  cast(n_repeat_words as bigint) n_repeat_words, failed_rules & {BASE.mask} <> 0 base_failed, failed_rules & {POLICIES[-1].mask} = 0 kept, cast(failed_rules as bigint) failed_rules,
+  {", ".join(f"failed_rules & {p.mask} = 0 kept_{p.version}" for p in POLICIES[1:])}, rule sole_rule, n_kept_without from b left join ablated on failed_rules & {POLICIES[-1].mask} = bit"""
 }

@@ -46,6 +46,18 @@ def test_policies_and_ablations_read_the_ledger_only(spark):
             assert r.n_kept_without == sum(not b & policy.mask & ~bit for b in bits)
 
 
+def test_verdicts_of_all_policies(spark):
+    rows = rules.judged(rules.ledger(corpora.documents(spark, DOCS + corpora.texts(), 0)), rules.POLICIES).collect()
+    mask = rules.POLICIES[-1].mask
+    for r in rows:
+        assert [r[f"kept_{p.version}"] for p in rules.POLICIES] == [not r.failed_rules & p.mask for p in rules.POLICIES]
+        sole = [rule for rule, bit in rules.BIT.items() if r.failed_rules & mask == bit]
+        assert r.sole_rule == (sole[0] if sole else None)
+        assert r.n_kept_without == (sum(not o.failed_rules & mask & ~rules.BIT[sole[0]] for o in rows) if sole else None)
+    assert any(r.sole_rule for r in rows)
+    assert rules.judged(rules.ledger(corpora.empty(spark)), rules.POLICIES).collect() == []
+
+
 def test_defined_results(spark):
     df = corpora.awkward(spark)
     assert rules.ledger(df).count() == df.count()
