@@ -1,14 +1,19 @@
 """Secret scan: fixed patterns, and a randomness battery for what no pattern knows.
 
-Patterns give the base spans and are cut out of the runs of key characters. Every part
-of a run that is left and long enough is read in the smallest encoding that has all its characters, and tested against "drawn
-uniformly from that alphabet": chi-squared over alphabet classes, runs about the
-alphabet's middle, and serial correlation, combined by Fisher's method. Words,
-paths and names fail; keys do not. Which runs count as failed is decided per
-stratum (encoding, length, and whether it has letters) by Benjamini-Hochberg over the p-values of all
-documents, so that among discarded runs the share of random ones stays below
-``fdr`` whatever the number of runs, and long runs are not judged by short ones.
-The p-values meet on a fixed grid; only counts per stratum and grid cell are shuffled.
+Patterns give the base spans and are cut out of the runs of key characters. Every part of a run that is left and long enough
+is read in the smallest encoding that has all its characters, and asked two questions.
+
+Could it be drawn uniformly from that alphabet? The battery: chi-squared over alphabet classes, runs about the
+alphabet's middle, and serial correlation, combined by Fisher's method. Words, paths and names fail.
+
+Could it be ordinary? Ordinary runs follow the corpus's own character pairs, counted over all shorter runs of all texts. The probability of a run
+under uniform draws, divided by that under these pairs, exceeds 1 / p for an ordinary run with probability p at most,
+whatever its length, so its inverse is a p-value of "ordinary".
+
+Both are decided per stratum (encoding, length, and whether it has letters) by Benjamini-Hochberg over the p-values of all
+documents. A span of kind "random" is a run that is rejected as ordinary, at most ``fdr`` of them wrongly as far as ordinary runs
+follow the pairs, and that the battery does not reject as random. Long runs are not judged by short ones. The p-values meet on
+fixed grids; only counts per stratum and grid cell are shuffled.
 
 Defined results: null and empty texts have no spans; repeated rows give one row
 each; offsets are code points, end exclusive; further columns are not read.
@@ -54,6 +59,51 @@ GRID, LAST_CELL = 8, 400
 FDR = 0.01
 
 
+#: Key characters in the order of their numbers in the table of pairs; share of uniform draws mixed into it.
+_KEY_ORDER = np.flatnonzero(KEY_BYTES)
+_KEY_NUMBER = np.zeros(256, dtype=np.int64)
+_KEY_NUMBER[_KEY_ORDER] = np.arange(len(_KEY_ORDER))
+MIXED = 0.01
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = len(_KEY_ORDER)
+    counts = np.zeros(n * n, dtype=np.int64)
+    for batch in batches:
+        for piece in pieces(batch):
+            data, offsets = raw(piece.column("text"))
+            if len(data) < 2:
+                continue
+            inside = KEY_BYTES[data]
+            starts, ends = runs(inside, offsets)
+            long = ends - starts >= RANDOM_LEAST
+            for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+                inside[a:b] = False
+            both = inside[:-1] & inside[1:]
+            both[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+            numbers = _KEY_NUMBER[data]
+            counts += np.bincount((numbers[:-1] * n + numbers[1:])[both], minlength=n * n)
+    yield pa.record_batch([pa.array(np.arange(n * n)), pa.array(counts)], names=["pair", "n"])
+
+
+def pair_costs(documents: DataFrame) -> np.ndarray:
+    """-log P(next | character) of key characters, from the runs of all texts that are too short to be tested; a table of 64 x 64 numbers."""
+    n = len(_KEY_ORDER)
+    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = np.zeros(n * n)
+    for r in counted.collect():
+        counts[r.pair] = r.n
+    counts = counts.reshape(n, n)
+    share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+    return -np.log((1 - MIXED) * share + MIXED / n)
+
+
+def ordinary(token: bytes, name: str, costs: np.ndarray) -> float:
+    """log of the p-value of "follows the corpus's pairs": at most 0."""
+    numbers = _KEY_NUMBER[np.frombuffer(token, dtype=np.uint8)]
+    return min(0.0, (len(numbers) - 1) * log(len(ENCODINGS[name])) - float(costs[numbers[:-1], numbers[1:]].sum()))
+
+
 def _normal_tail(z: float) -> float:
     return 0.5 * erfc(z / sqrt(2))
 
@@ -94,8 +144,8 @@ def _base_spans(text: bytes, keyed: bool, hexes: list[tuple[int, int]]) -> list[
     return sorted(out)
 
 
-def _random_runs(text: bytes, spans: list[tuple[int, int, int]], candidates: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
-    """Parts of the runs of key characters outside the pattern spans, with stratum and p-value."""
+def _random_runs(text: bytes, spans: list[tuple[int, int, int]], candidates: list[tuple[int, int]], costs: np.ndarray) -> list[tuple[int, int, str, float, float]]:
+    """Parts of the runs of key characters outside the pattern spans, with stratum and the logs of both p-values."""
     out = []
     lows, highs = [], []  # the spans' union
     for low, _, high in spans:
@@ -110,15 +160,19 @@ def _random_runs(text: bytes, spans: list[tuple[int, int, int]], candidates: lis
             stop = min(b, lows[i]) if i < len(lows) else b
             if stop - a >= RANDOM_LEAST:
                 name, p = battery(text[a:stop])
-                out.append((a, stop, name if re.search(rb"[A-Za-z]", text[a:stop]) else f"{name}-unlettered", p))
+                out.append((a, stop, name if re.search(rb"[A-Za-z]", text[a:stop]) else f"{name}-unlettered", log(max(p, 1e-30)), ordinary(text[a:stop], name, costs)))
             a = highs[i] if i < len(highs) else b
             i += 1
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cell(log_p: float) -> int:
+    return min(LAST_CELL, int(-log_p * GRID))
+
+
+def _scan(batches: Iterator[pa.RecordBatch], costs: np.ndarray) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-    run = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("cell", pa.int32())])
+    run = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("cell", pa.int32()), ("odd", pa.int32())])
     for batch in batches:
         for piece in pieces(batch):
             data, offsets = raw(piece.column("text"))
@@ -142,7 +196,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 text = whole[low:high]
                 spans = _base_spans(text, t in keyed, found[0].get(t, []))
-                random = _random_runs(text, spans, found[1].get(t, []))
+                random = _random_runs(text, spans, found[1].get(t, []), costs)
                 if not spans and not random:
                     spans_out.append([])
                     runs_out.append([])
@@ -150,30 +204,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = np.concatenate([[0], np.cumsum((data[low:high] & 0xC0) != 0x80)])  # code points before each byte
                 spans_out.append([{"start": int(before[a]), "kind": k, "end": int(before[b])} for a, k, b in spans])
                 runs_out.append(
-                    [{"start": int(before[a]), "end": int(before[b]), "stratum": f"{name}:{(b - a).bit_length()}", "cell": min(LAST_CELL, int(-log(max(p, 1e-30)) * GRID))} for a, b, name, p in random]
+                    [{"start": int(before[a]), "end": int(before[b]), "stratum": f"{name}:{(b - a).bit_length()}", "cell": _cell(p), "odd": _cell(q)} for a, b, name, p, q in random]
                 )
             yield pa.record_batch([piece.column("doc_id"), pa.array(spans_out, pa.list_(span)), pa.array(runs_out, pa.list_(run))], names=["doc_id", "spans", "runs"])
 
 
-def _failed_cells(found: DataFrame, fdr: float) -> DataFrame:
-    """(stratum, least failed cell): Benjamini-Hochberg over the grid; a few rows for each stratum.
+def _rejected_from(found: DataFrame, column: str, fdr: float) -> DataFrame:
+    """(stratum, least rejected cell of the column): Benjamini-Hochberg over the grid; a few rows for each stratum.
 
     Cell c holds p-values up to exp(-c / GRID); that upper end stands for all of them.
     """
-    cells = found.groupBy("stratum", "cell").agg(F.count("*").alias("n"))
+    cells = found.groupBy("stratum", F.col(column).alias("c")).agg(F.count("*").alias("n"))
     by = Window.partitionBy("stratum")
-    cells = cells.select("stratum", "cell", F.sum("n").over(by.orderBy(F.desc("cell"))).alias("at_most"), F.sum("n").over(by).alias("m"))
-    return cells.where(F.exp(-F.col("cell") / GRID) * F.col("m") <= fdr * F.col("at_most")).groupBy("stratum").agg(F.min("cell").alias("failed_from"))
+    cells = cells.select("stratum", "c", F.sum("n").over(by.orderBy(F.desc("c"))).alias("at_most"), F.sum("n").over(by).alias("m"))
+    return cells.where(F.exp(-F.col("c") / GRID) * F.col("m") <= fdr * F.col("at_most")).groupBy("stratum").agg(F.min("c").alias(f"{column}_from"))
 
 
 def secret_spans(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     """(doc_id, spans) of every row: spans (start, kind, end) in order; kind is a place in KINDS."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scanned = rows.mapInArrow(_scan, f"doc_id {kind}, spans array<struct<start:bigint,kind:int,end:bigint>>, runs array<struct<start:bigint,end:bigint,stratum:string,cell:int>>")
+    kind, costs = rows.schema["doc_id"].dataType.simpleString(), pair_costs(rows)
+    schema = f"doc_id {kind}, spans array<struct<start:bigint,kind:int,end:bigint>>, runs array<struct<start:bigint,end:bigint,stratum:string,cell:int,odd:int>>"
+    scanned = rows.mapInArrow(lambda batches: _scan(batches, costs), schema)
     scanned = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
     found = scanned.select("row", F.explode("runs").alias("r")).select("row", "r.*")
-    secret = found.join(_failed_cells(found, fdr), "stratum", "left").where(F.col("failed_from").isNull() | (F.col("cell") < F.col("failed_from")))
+    secret = found.join(_rejected_from(found, "odd", fdr), "stratum").where("odd >= odd_from")
+    secret = secret.join(_rejected_from(found, "cell", fdr), "stratum", "left").where("cell_from is null or cell < cell_from")
     added = secret.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("added"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return scanned.join(added, "row", "left").select("doc_id", F.sort_array(F.concat("spans", F.coalesce("added", none))).alias("spans"))

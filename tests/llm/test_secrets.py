@@ -78,3 +78,17 @@ def test_keys_without_digits_and_tails_of_base_spans(spark):
     assert np.mean([any(docs[first + i][s.start : s.end] == "-" + x for s in got[first + i].spans if s.kind == 3) for i, x in enumerate(tails)]) >= 0.95
     assert all(base(got[i]) == model(docs[i]) for i in got)
     assert not any(s.kind == 3 for i in range(len(names)) for s in got[len(keys) + i].spans)
+
+
+def test_precision_and_recall_among_long_plain_words(spark):
+    """Long words of the texts' own syllables are ordinary; keys among them are not."""
+    rng = random.Random(21)
+    syllables = ["er", "ein", "heit", "keit", "ung", "the", "an", "tion", "ble", "ness", "ing", "re", "con", "ver", "be", "ge", "sch", "lich"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    text = lambda: " ".join(word(rng.randrange(1, 5)) for _ in range(80))
+    long = [word(9).ljust(20, "e") for _ in range(150)] + [f"{word(3)}_{word(3)}-{word(3)}" for _ in range(50)]
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (20, 24, 32) for _ in range(20)]
+    docs = [f"{text()} {x} {text()}" for x in long + keys]
+    got = {r.doc_id: [docs[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 3] for r in secrets.secret_spans(corpora.documents(spark, docs, 0)).collect()}
+    listed = [x for spans in got.values() for x in spans]
+    assert sum(x in keys for x in listed) >= 0.95 * len(keys) and sum(x not in keys for x in listed) <= 0.02 * len(listed)
