@@ -44,24 +44,33 @@ def greedy_dedup(rows: DataFrame, id_column: str = "identity", url_column: str =
     return rows.join(reduce(DataFrame.unionByName, kept).withColumnRenamed("o", order), order, "left_semi")
 
 
+#: What a pasted description keeps of its row, and what a later row of the same posting cannot say about it.
+PASTED, OUTDATED = ["description", "description_source", "skills"], ["translated_description", "translation_language"]
+
+
 def upsert_catalogue(existing: DataFrame, incoming: DataFrame, keep: DataFrame) -> DataFrame:
-    """Incoming replaces the row of the same id (last one wins); a pasted description and its skills survive;
-    rows neither kept nor incoming are dropped.
+    """Incoming rows replace the row of the same id one after the other (the last one wins), but the first pasted description
+    survives with its skills, whether it was there before or came with this batch; the translation of a later row is
+    cleared then. Rows neither kept nor incoming are dropped.
 
     existing (id, ...), incoming (id, ord, ...), keep (id); both with description, description_source, skills, translated_description.
     """
     fields = [c for c in existing.columns if c != "id"]
-    last = incoming.groupBy("id").agg(F.max_by(F.struct(*fields), "ord").alias("new"))
-    old = existing.select("id", F.struct(*fields).alias("old")).join(keep.select("id").distinct().withColumn("keep", F.lit(True)), "id", "left")
+    own = F.struct(*[c for c in PASTED if c in fields])
+    is_paste = F.col("description_source") == "pasted"
+    last = incoming.groupBy("id").agg(F.max_by(F.struct(*fields), "ord").alias("new"), F.max("ord").alias("last"),
+                                      F.min(F.when(is_paste, F.col("ord"))).alias("first"), F.min_by(own, F.when(is_paste, F.col("ord"))).alias("paste"))
+    old = existing.select("id", F.struct(*fields).alias("old"), F.when(is_paste, own).alias("older")).join(keep.select("id").distinct().withColumn("keep", F.lit(True)), "id", "left")
     both = old.join(last, "id", "full_outer").where(F.col("new").isNotNull() | F.col("keep"))
-    pasted = F.coalesce(F.col("old.description_source") == "pasted", F.lit(False)) & F.col("new").isNotNull()
-    kept_fields = {"description", "description_source", "skills"}
+    held = F.when(F.col("new").isNotNull(), F.coalesce("older", F.when(F.col("first") < F.col("last"), F.col("paste"))))
+    both = both.withColumn("held", held)
+    pasted = F.col("held").isNotNull()
 
     def value(name: str):
         merged = F.when(F.col("new").isNotNull(), F.col(f"new.{name}")).otherwise(F.col(f"old.{name}"))
-        if name in kept_fields:
-            merged = F.when(pasted, F.col(f"old.{name}")).otherwise(merged)
-        if name in ("translated_description", "translation_language"):
+        if name in PASTED:
+            merged = F.when(pasted, F.col(f"held.{name}")).otherwise(merged)
+        if name in OUTDATED:
             merged = F.when(pasted, F.lit(None)).otherwise(merged)
         return merged.alias(name)
     return both.select("id", *[value(c) for c in fields])

@@ -328,7 +328,7 @@ state AS (SELECT profile_id, skill_id, arg_max(interval_days, day) AS interval_d
 _STATE = f"""WITH {_DAYS} SELECT profile_id, skill_id, interval_days, interval_before, CAST(last_day AS VARCHAR) AS last_reviewed,
    CAST(CAST(last_day + to_days(interval_days) AS DATE) AS VARCHAR) AS review_on, recall FROM state"""
 _FEED = """WITH s AS (SELECT source, CAST(doc_id // 2 AS VARCHAR) AS job_id, doc_id, doc_id % 2 AS minute, text, doc_id % 5 = 0 AS pasted FROM documents)
-   SELECT source, job_id, {seq} md5(coalesce(arg_max(text, minute * 1000000000 + doc_id) FILTER (pasted), arg_max(text, minute * 1000000000 + doc_id))) AS description,
+   SELECT source, job_id, {seq} md5(coalesce(arg_min(text, minute * 1000000000 + doc_id) FILTER (pasted), arg_max(text, minute * 1000000000 + doc_id))) AS description,
    CASE WHEN bool_or(pasted) THEN 'pasted' ELSE 'source' END AS description_source FROM s GROUP BY source, job_id"""
 _MATERIAL = "material(title, url, always, pos, keyword, pattern) AS (" + Q.rows(
     (t, u, a, i, k, "(^|[^a-z0-9_])" + Q.escape(k) + "([^a-z0-9_]|$)") for t, u, ks, a in MATERIALS for i, k in enumerate(ks)) + ")"

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fitweave.operators import merge as D
 from fitweave.operators import schedule as T
 from fitweave.session import step_folder
 from fitweave.streaming import feed, reviews
@@ -91,7 +92,46 @@ def test_feed_equals_batch_with_a_reverted_text_and_late_rows(spark):
         whole = feed.latest_versions(spark.createDataFrame([r for b in batches[: n + 1] for r in b], schema))
         assert sorted(map(tuple, feed.catalogue(spark, f"{folder}/table").select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
     final = {r.job_id: (r.description, r.seq) for r in feed.catalogue(spark, f"{folder}/table").collect()}
-    assert final == {"1": ("A", 2), "2": ("older paste", 1)}
+    assert final == {"1": ("A", 2), "2": ("own", 1)}
+
+
+def test_feed_and_upsert_replay_one_row_after_the_other(spark):
+    """Both follow one rule: rows in order, the first paste stays with its skills, later rows clear the translation."""
+    rng = random.Random(8)
+    names = ["description", "description_source", "skills", "translated_description", "title"]
+
+    def replay(rows, shown):
+        for job, *values in rows:
+            row, old = dict(zip(names, values)), shown.get(job)
+            if old and old["description_source"] == "pasted":
+                row |= {n: old[n] for n in names[:3]} | {"translated_description": None}
+            shown[job] = row
+        return shown
+
+    draw = lambda n: [(str(rng.randrange(12)), f"d{rng.randrange(99)}", rng.choice(["source", "source", "pasted"]), [f"s{rng.randrange(9)}"], rng.choice([None, "t"]), f"title {i}") for i in range(n)]
+    schema = "job_id string, description string, description_source string, skills array<string>, translated_description string, title string"
+    told = lambda df, key: {r[key]: {n: r[n] for n in names} for r in df.collect()}
+    for _ in range(3):
+        first, second, keep = draw(9), draw(30), [str(i) for i in range(0, 12, 2)]
+        before = replay(first, {})
+        old = spark.createDataFrame([(k, *v.values()) for k, v in before.items()], schema.replace("job_id", "id"))
+        new = spark.createDataFrame([(*r, i) for i, r in enumerate(second)], schema.replace("job_id", "id") + ", ord int")
+        got = told(D.upsert_catalogue(old, new, spark.createDataFrame([(k,) for k in keep], "id string")), "id")
+        incoming = {r[0] for r in second}
+        assert got == {k: v for k, v in replay(second, dict(before)).items() if k in keep or k in incoming}
+        rows = [("s", dt.datetime(2024, 5, 1) + dt.timedelta(hours=i // 3), i, *r) for i, r in enumerate(first + second)]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "source string, fetched_at timestamp, seq long, " + schema)
+        assert told(feed.latest_versions(df), "job_id") == replay(first + second, {})
+
+
+def test_feed_drops_rows_neither_kept_nor_incoming(spark):
+    schema = "source string, job_id string, fetched_at timestamp, seq long, description string, description_source string"
+    folder, keep = f"{step_folder(spark)}/feed-test-{uuid.uuid4().hex}", spark.createDataFrame([("s", "1")], "source string, job_id string")
+    for n, jobs in enumerate((["1", "2", "3"], ["3", "4"])):
+        spark.createDataFrame([("s", j, dt.datetime(2024, 5, n + 1), n, j, "source") for j in jobs], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        feed.start_posting_feed(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/table", f"{folder}/checkpoint", keep).awaitTermination()
+    assert {r.job_id for r in feed.catalogue(spark, f"{folder}/table").collect()} == {"1", "3", "4"}
 
 
 def test_due_queue(spark):
