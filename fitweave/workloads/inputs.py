@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 
 
 TEXT_TABLES = {"documents", "pages", "conversations"}
+#: Session setting: so many partitions for every table of texts, whatever its size. Unset, tables are read as Spark splits them.
+INPUT_PARTITIONS = "fitweave.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Give text work to every core when the input has fewer splits than cores (one small file, say).
-
-    Large inputs already have more splits than cores and pass unchanged.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    rows, parts = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts and name in TEXT_TABLES else rows
 
 
 # The prose of ``documents`` names no skills. Some of its invented words stand
