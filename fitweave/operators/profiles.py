@@ -6,16 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitweave.functions.constants import (
+    EMAIL, PHONE, GITHUB_LINK, LINKEDIN_LINK, YEAR_RANGE, YEARS_SAID,
     CLIENT_WORDS, CITY_COUNTRY, COUNTRY_NAMES, GITHUB_RESERVED, LANGUAGE_LEVELS, LOW_TEXT_CHARS)
 from fitweave.functions.text import blank_to_null, distinct_ignoring_case, let, literal_map, strip
 from fitweave.operators.skills import tidy_skill_list
 
-_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-_PHONE = r"(?U)(?<!\w)(?:\+\d{1,3}[\s.\-]?)?(?:\(?\d{2,4}\)?[\s.\-]?)?\d{3,4}[\s.\-]?\d{3,4}(?!\w)"
-_GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)"
-_LINKEDIN = r"(?i)(?:https?://)?(?:[\w-]+\.)?linkedin\.com/in/([A-Za-z0-9_-]+)/?"
-_RANGE = r"(?i)((?:19|20)\d{2})\s*(?:[–-]|to)\s*((?:19|20)\d{2}|present|now|current)"
-_YEARS = r"(?iU)\b(\d{1,2})\+?\s+years?(?:\s+of)?(?:\s+(?:professional|total))?(?:\s+experience)?\b"
 
 
 def tidy_text(text: Column) -> Column:
@@ -65,29 +60,29 @@ def text_quality(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return distinct_ignoring_case(F.regexp_extract_all(text, F.lit(_EMAIL), F.lit(0)))
+    return distinct_ignoring_case(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)))
 
 
 def phones(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(_PHONE), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
     digits = F.filter(found, lambda p: F.length(F.regexp_replace(p, r"(?U)\D", "")).between(8, 15))
     return distinct_ignoring_case(F.transform(digits, lambda p: F.regexp_replace(p, r"(?U)\s+", " ")))
 
 
 def github_urls(text: Column) -> Column:
-    users = F.filter(F.regexp_extract_all(text, F.lit(_GITHUB), F.lit(1)), lambda u: ~F.lower(u).isin(GITHUB_RESERVED))
+    users = F.filter(F.regexp_extract_all(text, F.lit(GITHUB_LINK), F.lit(1)), lambda u: ~F.lower(u).isin(GITHUB_RESERVED))
     return F.array_distinct(F.transform(users, lambda u: F.concat(F.lit("https://github.com/"), u)))
 
 
 def linkedin_urls(text: Column) -> Column:
-    slugs = F.regexp_extract_all(text, F.lit(_LINKEDIN), F.lit(1))
+    slugs = F.regexp_extract_all(text, F.lit(LINKEDIN_LINK), F.lit(1))
     return F.array_distinct(F.transform(slugs, lambda s: F.concat(F.lit("https://www.linkedin.com/in/"), s)))
 
 
 def year_ranges(text: Column) -> Column:
     """array<struct<start, end>>; null end means "present"; reversed ranges are dropped."""
-    starts = F.regexp_extract_all(text, F.lit(_RANGE), F.lit(1))
-    ends = F.regexp_extract_all(text, F.lit(_RANGE), F.lit(2))
+    starts = F.regexp_extract_all(text, F.lit(YEAR_RANGE), F.lit(1))
+    ends = F.regexp_extract_all(text, F.lit(YEAR_RANGE), F.lit(2))
     pairs = F.zip_with(starts, ends, lambda a, b: F.struct(
         a.cast("int").alias("start"), F.when(b.rlike(r"^\d+$"), b.try_cast("int")).alias("end")))
     return F.filter(pairs, lambda p: p["end"].isNull() | (p["end"] >= p["start"]))
@@ -100,7 +95,7 @@ def bare_years(text: Column) -> Column:
 
 def stated_years(text: Column) -> Column:
     """The first "n years" phrase, at most 60."""
-    return F.least(F.nullif(F.regexp_extract(text, _YEARS, 1), F.lit("")).cast("double"), F.lit(60.0))
+    return F.least(F.nullif(F.regexp_extract(text, YEARS_SAID, 1), F.lit("")).cast("double"), F.lit(60.0))
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
