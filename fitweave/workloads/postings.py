@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from fitweave.sources import boards as B
 from fitweave.sources import companies as C
 from fitweave.workloads import sql as Q
 from fitweave.workloads.inputs import table
+from fitweave.session import own, step_folder
 from fitweave.workloads.texts import pick, pick_sql
 
 AS_OF = "2024-02-01 00:00:00"
@@ -153,6 +156,40 @@ def s8(spark, sf_dir):
     return C.company_conflicts(part.select(F.concat_ws("-", "p_name", "p_brand").alias("slug"), F.col("p_type").alias("ats_type"), F.concat_ws("-", "p_name", "p_brand").alias("board_slug")))
 
 
+def _folder(spark, label: str) -> str:
+    path = f"{step_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    own(path)
+    return path
+
+
+def s8_file(spark, sf_dir):
+    """Customers written as the company file of a registry, with blanks, quotes and commas, and read from there."""
+    firms = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit(" c-"), "c_custkey").alias("slug"), F.concat("c_name", F.lit(', "the" firm ')).alias("name"), F.concat(F.lit("  "), "c_mktsegment").alias("industry"),
+        pick(["greenhouse", "lever ", " ashby"], F.col("c_custkey")).alias("ats_type"), F.concat("c_name", F.lit(" ")).alias("board_slug"), pick([" nl", "de "], F.col("c_custkey")).alias("country"), F.lit("x").alias("hq_location"))
+    folder = _folder(spark, "companies")
+    firms.write.csv(folder, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return C.read_companies(spark, folder).drop("hq_location")
+
+
+def s12_files(spark, sf_dir):
+    """Pages written as text files of many lines and read as whole files of some kind."""
+    folder = _folder(spark, "documents")
+    table(spark, sf_dir, "pages").select(F.regexp_replace("html", r"\s+", " ")).write.text(folder)
+    files = C.read_documents(spark, folder)
+    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: x != "")
+    return files.select("kind", F.explode(lines).alias("line")).select("kind", F.md5("line").alias("line"))
+
+
+def s14_files(spark, sf_dir):
+    """The report as it stands in its files."""
+    page, folder = M.page_of(M.first_per_job(hits(spark, sf_dir)), search_queries(spark, sf_dir)), _folder(spark, "report")
+    C.write_report(page, M.roll_up(source_status(spark, sf_dir)), folder)
+    shown = spark.read.schema("query_id bigint, posting_id bigint").json(f"{folder}/hits").groupBy("query_id").agg(F.count("*").alias("written"))
+    told = spark.read.schema("query_id bigint, status string, exit_code int, returned bigint").json(f"{folder}/report")
+    return told.join(shown, "query_id", "left").select("query_id", "status", "exit_code", "returned", F.coalesce("written", F.lit(0)).cast("bigint").alias("written"))
+
+
 def s9(spark, sf_dir):
     firms = table(spark, sf_dir, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey")).alias("slug"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("name"))
     wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), pick(["1", " 07", "C-1", "machinery customer", "x", "", "Customer#00000010"], F.col("s_suppkey")).alias("query"))
@@ -477,7 +514,7 @@ def d10_results(spark, sf_dir):
 
 QUERIES = {
     "s1_greenhouse": s1, "s2_lever": s2, "s3_ashby": s3, "s4_freehire": s4, "s4_envelopes": s4_problems, "s4_accounting": s4_accounting, "s5_tabular": s5, "s6_rejects": s6, "s7_accounting": s7,
-    "s8_company_conflicts": s8, "s9_company_search": s9, "s10_career_links": s10, "s12_document_kinds": s12, "s14_report": s14,
+    "s8_company_conflicts": s8, "s8_company_file": s8_file, "s9_company_search": s9, "s10_career_links": s10, "s12_document_kinds": s12, "s12_document_files": s12_files, "s14_report": s14, "s14_report_files": s14_files,
     "n1_plain_text": n1, "n2_structured_pages": n2, "n3_page_outcomes": n3, "n4_labels": n4, "n5_apply_mode": n5, "n6_descriptions": n6, "n7_enrichment": n7, "n7_description_counts": n7_counts,
     "n8_url_safety": n8, "n9_canonical_url": n9, "n10_workspace_url": n10, "n11_sanitised_postings": n11, "n11_sanitised_requests": n11_requests, "n12_requests": n12, "n13_source_requests": n13,
     "f1_keywords": f1, "f1_keywords_by_grams": f1_grams, "f1_f4_matches": f_matches, "f5_unsupported_filters": f5, "f7_shortlist_filter": f7, "f8_routing": f8,

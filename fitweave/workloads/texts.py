@@ -171,6 +171,12 @@ def exports(spark, sf_dir):
                        at("$.age_source").alias("age_source"), F.contains("json", F.lit("null")).cast("int").alias("has_null"))
 
 
+def title_contexts(spark, sf_dir):
+    rows = P.title_context(P.merge_profile(model_profiles(spark, sf_dir), rules(spark, sf_dir), include_age=True))
+    has = lambda word: F.contains("json", F.lit(f'"{word}"')).cast("int")
+    return rows.select("doc_id", has("skills").alias("has_skills"), (has("email") + has("phone") + has("birth_year") + has("age_estimate") + has("full_name")).alias("private"))
+
+
 def answers(spark, sf_dir):
     """Model answers built from customers: fenced, broken, short and complete ones of every kind."""
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")
@@ -230,7 +236,7 @@ QUERIES = {
     "l4_work_list": open_chunks, "l4_notes": notes, "l5_display_text": shown, "c1_c4_tidy_text": tidy, "c2_repeated_edges": clean_pages,
     "c3_page_markers": whole_documents, "c5_c6_identifiers": hints, "c5_phones": phone_rows, "c7_rules_profile": rule_profiles,
     "c8_merge_profile": merged, "c9_employers": employer_rows, "c10_languages": tongue_rows, "c11_c12_locations": locations,
-    "c13_public_export": exports, "c14_answer_checks": checked, "c14_rates": rates, "e1_e2_scores": scored, "e1_language_accuracy": language_gate,
+    "c13_public_export": exports, "c13_title_context": title_contexts, "c14_answer_checks": checked, "c14_rates": rates, "e1_e2_scores": scored, "e1_language_accuracy": language_gate,
 }
 
 _TOKENS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{Nl}\\p{No}]+'), lambda x: lower(x))"
@@ -351,6 +357,7 @@ ORACLE = {
         FROM ({_MODEL})""",
     "c11_c12_locations": f"""WITH {_PLACES} SELECT doc_id, n AS country, CASE WHEN c IS NOT NULL AND n IS NOT NULL THEN
           CASE WHEN contains(lower(c), lower(n)) OR contains(lower(n), lower(c)) THEN c ELSE c || ', ' || n END ELSE coalesce(c, n, seg) END AS search FROM places""",
+    "c13_title_context": "SELECT c_custkey AS doc_id, 1 AS has_skills, 0 AS private FROM customer",
     "c13_public_export": """SELECT c_custkey AS doc_id, c_name AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 1980 END AS birth_year,
           CASE WHEN c_custkey % 2 = 0 THEN 'explicit_cv' END AS age_source, 0 AS has_null FROM customer""",
     "e1_e2_scores": """WITH g AS (SELECT c_custkey AS k, c_name, c_nationkey, c_custkey % 10 > 0 AND c_custkey % 20 > 0 AS valid FROM customer), s AS (SELECT count(*) AS n,
