@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fitweave.operators.merge import OUTDATED, PASTED
+from fitweave.session import checkpointed
 from fitweave.streaming.versions import last_version, merge_version
 
 _KEY = ["source", "job_id"]
@@ -52,12 +53,12 @@ def latest_versions(rows: DataFrame) -> DataFrame:
 def start_posting_feed(snapshots: DataFrame, table_dir: str, checkpoint: str, keep: DataFrame | None = None) -> StreamingQuery:
     """Merge each micro-batch into the catalogue; with ``keep`` (source, job_id) rows neither kept nor in the batch leave.
 
-    A batch is reduced to one row per posting, then merged with the version before
-    it by fetch time, so a text that returns to an earlier wording wins again,
+    A batch is reduced to one row per posting, then merged with the stored rows of the same
+    buckets (of all, with ``keep``) by fetch time, so a text that returns to an earlier wording wins again,
     and a late snapshot of any age finds its place without a watermark.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        incoming = _state(batch)
+        incoming = checkpointed(_state(batch))
 
         def merge(before: DataFrame | None) -> DataFrame:
             if before is None:
@@ -66,7 +67,7 @@ def start_posting_feed(snapshots: DataFrame, table_dir: str, checkpoint: str, ke
                 before = before.join(keep.select(*_KEY).unionByName(incoming.select(*_KEY)).distinct(), _KEY, "left_semi")
             return _merged(before.unionByName(incoming))
 
-        merge_version(batch_id, batch.sparkSession, table_dir, merge)
+        merge_version(batch_id, table_dir, _KEY, incoming, merge, every=keep is not None)
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

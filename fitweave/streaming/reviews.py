@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fitweave.operators.schedule import review_day, review_state
-from fitweave.streaming.versions import last_version, merge_version
+from fitweave.streaming.versions import bucket_of, last_version, merge_version
 
 _KEY = ["profile_id", "skill_id"]
 
@@ -21,14 +21,18 @@ def start_review_stream(events: DataFrame, table_dir: str, checkpoint: str, zone
     """Fold each micro-batch onto the stored schedule state.
 
     The batch, reduced to the last rating per key and day, is kept under
-    ``table_dir/days``. Keys whose new days all come after their last review go on from
+    ``table_dir/days``, by buckets of keys; only touched buckets of state and days are read, and only those of the state are written again. Keys whose new days all come after their last review go on from
     the stored interval; a key with a late or repeated day is computed again from its
     own days. Other keys keep their row. Late events need no watermark.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _last_per_day(batch, zone).write.mode("overwrite").parquet(f"{table_dir}/days/batch={batch_id}")
-        new = spark.read.parquet(f"{table_dir}/days/batch={batch_id}")
+        of_batch = f"{table_dir}/days/batch={batch_id}"
+        days = _last_per_day(batch, zone).withColumn("bucket", bucket_of(_KEY))
+        days.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(of_batch)
+        new = spark.read.parquet(of_batch)
+        buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        new = new.drop("bucket")
 
         def merge(before: DataFrame | None) -> DataFrame:
             if before is None:
@@ -36,10 +40,10 @@ def start_review_stream(events: DataFrame, table_dir: str, checkpoint: str, zone
             touched = new.groupBy(*_KEY).agg(F.min("day").alias("first_day")).join(before.select(*_KEY, "last_reviewed"), _KEY, "left")
             again = touched.where(F.col("first_day") <= F.col("last_reviewed")).select(*_KEY)
             later = new.join(again, _KEY, "left_anti")
-            days = spark.read.parquet(f"{table_dir}/days").where(F.col("batch") <= batch_id).drop("batch").join(again, _KEY, "left_semi")
+            days = spark.read.parquet(f"{table_dir}/days").where((F.col("batch") <= batch_id) & F.col("bucket").isin(buckets)).drop("batch", "bucket").join(again, _KEY, "left_semi")
             onward = review_state(later, before.select(*_KEY, "interval_days"), zone=zone)
             return before.join(touched.select(*_KEY), _KEY, "left_anti").unionByName(onward).unionByName(review_state(days, zone=zone))
-        merge_version(batch_id, spark, f"{table_dir}/states", merge)
+        merge_version(batch_id, f"{table_dir}/states", _KEY, new, merge)
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fitweave.operators import merge as D
 from fitweave.operators import schedule as T
 from fitweave.session import step_folder
-from fitweave.streaming import feed, reviews
+from fitweave.streaming import feed, reviews, versions
 
 SCHEMA = "profile_id int, skill_id string, ts timestamp, event_id long, rating string"
 
@@ -125,6 +125,26 @@ def test_feed_and_upsert_replay_one_row_after_the_other(spark):
         assert told(feed.latest_versions(df), "job_id") == replay(first + second, {})
 
 
+def test_a_batch_writes_the_buckets_of_its_keys_alone(spark):
+    table, keys = f"{step_folder(spark)}/versions-test-{uuid.uuid4().hex}", ["k"]
+    rows = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k int, v int")
+
+    def apply(batch_id, ks, v):
+        new = rows(ks, v)
+        versions.merge_version(batch_id, table, keys, new, lambda before: new if before is None else before.join(new, "k", "left_anti").unionByName(new))
+        return {r.k: r.v for r in versions.last_version(spark, table).collect()}
+
+    assert apply(0, range(300), 0) == dict.fromkeys(range(300), 0)
+    want = dict.fromkeys(range(300), 0) | {5: 1, 900: 1}
+    assert apply(1, [5, 900], 1) == want
+    assert len([n for n in versions._names(spark, f"{table}/data/version=1") if n.startswith("bucket=")]) <= 2
+    assert apply(1, [5, 900], 1) == want  # a replay
+    assert apply(2, [7], 2) == want | {7: 2} and apply(3, [5], 3) == want | {7: 2, 5: 3}
+    assert apply(4, [8], 4) == want | {7: 2, 5: 3, 8: 4}
+    mine = spark.sql("select 5 k").select(versions.bucket_of(keys).alias("b")).first().b
+    assert [v for v in range(5) if f"bucket={mine}" in versions._names(spark, f"{table}/data/version={v}")] == [3]
+
+
 def test_feed_drops_rows_neither_kept_nor_incoming(spark):
     schema = "source string, job_id string, fetched_at timestamp, seq long, description string, description_source string"
     folder, keep = f"{step_folder(spark)}/feed-test-{uuid.uuid4().hex}", spark.createDataFrame([("s", "1")], "source string, job_id string")
