@@ -7,7 +7,7 @@ returns one row per record with ``reject`` naming why a record is unusable;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fitweave.functions.constants import EMPLOYMENT_KEYS, WORKPLACE_KEYS
@@ -195,3 +195,17 @@ def accounting(rows: DataFrame, date_filter: bool = False) -> DataFrame:
             " listings without a publication date. Choose Any time to include them.")))))
     status = F.when((F.col("unread") > 0) & (F.col("read") == 0), "error").when((F.size(warnings) > 0) | (F.col("unread") > 0), "partial").otherwise("ok")
     return counts.select("*", warnings.alias("warnings"), status.alias("status")).drop("read")
+
+
+def write_postings(rows: DataFrame, location: str, date_filter: bool = False) -> dict[str, int]:
+    """Write the accepted postings; the totals of all records are observed by the same write, without a second pass.
+
+    Returns kept, skipped, undated and unread, as `accounting` sums them over all boards.
+    """
+    seen = Observation()
+    unread = F.coalesce(F.col("reject").isin(PAYLOAD_PROBLEMS), F.lit(False))
+    undated = F.col("reject").isNull() & posted_time(F.col("posted_at")).isNull() if date_filter else F.lit(False)
+    counted = rows.observe(seen, F.count_if(F.col("reject").isNull()).alias("kept"), F.count_if(F.col("reject").isNotNull() & ~unread).alias("skipped"),
+                           F.count_if(undated).alias("undated"), F.count_if(unread).alias("unread"))
+    accepted(counted).write.mode("overwrite").parquet(location)
+    return seen.get

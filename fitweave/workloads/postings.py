@@ -151,6 +151,14 @@ def s7(spark, sf_dir):
     return B.accounting(greenhouse_rows(spark, sf_dir), date_filter=True).select("board", "kept", "skipped", "undated", F.array_join("warnings", "|").alias("warnings"), "status")
 
 
+def s7_observed(spark, sf_dir):
+    """Totals that the write of the postings has observed, beside the rows it wrote."""
+    folder = _folder(spark, "postings")
+    seen = B.write_postings(greenhouse_rows(spark, sf_dir), folder, date_filter=True)
+    written = spark.read.parquet(folder).agg(F.count("*").alias("written"))
+    return written.select("written", *[F.lit(seen[c]).cast("bigint").alias(c) for c in ("kept", "skipped", "undated", "unread")])
+
+
 def s8(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return C.company_conflicts(part.select(F.concat_ws("-", "p_name", "p_brand").alias("slug"), F.col("p_type").alias("ats_type"), F.concat_ws("-", "p_name", "p_brand").alias("board_slug")))
@@ -513,7 +521,7 @@ def d10_results(spark, sf_dir):
 
 
 QUERIES = {
-    "s1_greenhouse": s1, "s2_lever": s2, "s3_ashby": s3, "s4_freehire": s4, "s4_envelopes": s4_problems, "s4_accounting": s4_accounting, "s5_tabular": s5, "s6_rejects": s6, "s7_accounting": s7,
+    "s1_greenhouse": s1, "s2_lever": s2, "s3_ashby": s3, "s4_freehire": s4, "s4_envelopes": s4_problems, "s4_accounting": s4_accounting, "s5_tabular": s5, "s6_rejects": s6, "s7_accounting": s7, "s7_observed_totals": s7_observed,
     "s8_company_conflicts": s8, "s8_company_file": s8_file, "s9_company_search": s9, "s10_career_links": s10, "s12_document_kinds": s12, "s12_document_files": s12_files, "s14_report": s14, "s14_report_files": s14_files,
     "n1_plain_text": n1, "n2_structured_pages": n2, "n3_page_outcomes": n3, "n4_labels": n4, "n5_apply_mode": n5, "n6_descriptions": n6, "n7_enrichment": n7, "n7_description_counts": n7_counts,
     "n8_url_safety": n8, "n9_canonical_url": n9, "n10_workspace_url": n10, "n11_sanitised_postings": n11, "n11_sanitised_requests": n11_requests, "n12_requests": n12, "n13_source_requests": n13,
